@@ -6,7 +6,7 @@ of it as a path in a prefix trie. Two classes are candidates if their paths shar
 prefix in some tree. The prefix starts at the tries' full depth and is shortened until a
 pair at the similarity limit would be found with the target probability; sorting by path
 is what the shuffle on the prefix does. Candidates that differ in too many bits of a
-64-bit sketch are dropped inside the join, the rest is verified on the texts' whole
+128-bit sketch are dropped inside the join, the rest is verified on the texts' whole
 shingle sets.
 
 Signatures come from one hash per shingle: the hash names a bin and a value, and each
@@ -47,9 +47,9 @@ def prefix_depth(similarity: float, trees: int = TREES, depth: int = DEPTH, reca
 
 
 def sketch_limit(similarity: float) -> int:
-    """Most of the 64 bits in which a pair of this similarity is expected to differ."""
+    """Most of the 128 bits in which a pair of this similarity is expected to differ."""
     p = (1 - similarity) / 2
-    return math.ceil(64 * p + SKETCH_SIGMAS * math.sqrt(64 * p * (1 - p)))
+    return math.ceil(128 * p + SKETCH_SIGMAS * math.sqrt(128 * p * (1 - p)))
 
 
 def normalized(texts: list[str]) -> list[str]:
@@ -103,7 +103,7 @@ def _class(text: str) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-_CODED = "id string, c1 long, c2 long, sketch long, keys array<long>"
+_CODED = "id string, c1 long, c2 long, s1 long, s2 long, keys array<long>"
 
 
 def coded(df: DataFrame, id_column: str, text_columns: list[str], width: int = 5, trees: int = TREES, depth: int = DEPTH, prefix: int = DEPTH) -> DataFrame:
@@ -123,15 +123,16 @@ def coded(df: DataFrame, id_column: str, text_columns: list[str], width: int = 5
                 texts = [texts[k] for k in some]
                 hashes, owner = shingle_hashes(texts, width)
                 sig = signatures(hashes, owner, len(texts), trees * depth)
-                bits = (mix(sig[:, :64]) & np.uint64(1)) << np.arange(64, dtype=np.uint64)
+                bits = (mix(sig[:, :128]) & np.uint64(1)) << (np.arange(min(128, trees * depth), dtype=np.uint64) % np.uint64(64))
+                halves = [pa.array(part.sum(axis=1, dtype=np.uint64).view(np.int64)) for part in (bits[:, :64], bits[:, 64:])]
                 key = np.tile(seeds, (len(texts), 1))
                 for level in range(prefix):
                     key = mix(key ^ sig[:, level::depth])
                 c = [_class(t) for t in texts]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * trees), pa.array(key.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(some, pa.int64())), pa.array([x for x, _ in c], pa.int64()), pa.array([x for _, x in c], pa.int64()), pa.array(bits.sum(axis=1, dtype=np.uint64).view(np.int64)), keys],
-                    names=["id", "c1", "c2", "sketch", "keys"],
+                    [b.column(0).take(pa.array(some, pa.int64())), pa.array([x for x, _ in c], pa.int64()), pa.array([x for _, x in c], pa.int64()), *halves, keys],
+                    names=["id", "c1", "c2", "s1", "s2", "keys"],
                 )
 
     return df.select(F.col(id_column).cast("string"), *text_columns).filter(F.col(id_column).isNotNull()).mapInArrow(run, _CODED)
@@ -152,7 +153,7 @@ def _texts(columns: int, width: int):
 
 def _verify(similarity: float, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(k, 500) for batch in batches for k in range(0, batch.num_rows, 500)):
             n = b.num_rows
             texts = b.column(4).to_pylist() + b.column(5).to_pylist()
             hashes, owner = shingle_hashes(texts, width)
@@ -183,18 +184,18 @@ class NearDuplicates:
         prefix = prefix_depth(similarity, trees, depth, recall)
         code = stage(coded(df, id_column, text_columns, width, trees, prefix, prefix))
         self.members = code.select("id", "c1", "c2").distinct()
-        paths = code.groupBy("c1", "c2").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys")).select("c1", "c2", "sketch", F.explode("keys").alias("key"))
-        other = paths.select("key", F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("sketch").alias("other"))
-        near = (F.col("c1") < F.col("d1")) | ((F.col("c1") == F.col("d1")) & (F.col("c2") < F.col("d2")))
-        alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other"))) <= sketch_limit(similarity)
-        candidates = stage(paths.join(other, "key").filter(near & alike).select("c1", "c2", "d1", "d2").distinct())
-        ends = candidates.select("c1", "c2").union(candidates.select("d1", "d2")).distinct()
-        chosen = self.members.join(ends, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("id").alias("id")).select("id").distinct()
+        paths = code.groupBy("c1", "c2").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys")).select("c1", "s1", "s2", F.explode("keys").alias("key"))
+        other = paths.select("key", F.col("c1").alias("d1"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
+        apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
+        # half of the class names a candidate; the texts, which are joined to it, have the whole
+        candidates = stage(paths.join(other, "key").filter((F.col("c1") < F.col("d1")) & (apart <= sketch_limit(similarity))).select("c1", "d1").distinct())
+        ends = candidates.select("c1").union(candidates.select("d1")).distinct()
+        chosen = self.members.join(ends, "c1", "left_semi").groupBy("c1", "c2").agg(F.min("id").alias("id")).select("id").distinct()
         rows = df.select(F.col(id_column).cast("string").alias("id"), *text_columns).join(chosen, "id", "left_semi")
-        texts = stage(rows.mapInArrow(_texts(len(text_columns), width), "c1 long, c2 long, text string").join(ends, ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2"]))
+        texts = stage(rows.mapInArrow(_texts(len(text_columns), width), "c1 long, c2 long, text string").join(ends, "c1", "left_semi").dropDuplicates(["c1", "c2"]))
         a = texts.withColumnRenamed("text", "text_a")
         b = texts.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.col("text").alias("text_b"))
-        paired = candidates.join(a, ["c1", "c2"]).join(b, ["d1", "d2"]).select("c1", "c2", "d1", "d2", "text_a", "text_b")
+        paired = candidates.join(a, "c1").join(b, "d1").select("c1", "c2", "d1", "d2", "text_a", "text_b")
         self.class_pairs = stage(paired.mapInArrow(_verify(similarity, width), "c1 long, c2 long, d1 long, d2 long"))
 
     def pairs(self) -> DataFrame:
