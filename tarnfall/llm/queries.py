@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfall.llm import leaks, mixing, neardup, similar, splitting, visual
+from tarnfall.llm import leaks, mixing, names, neardup, similar, splitting, visual
 from tarnfall.sources.tables import table
 
 
+def _names(spark: SparkSession, folder: str) -> DataFrame:
+    return names.name_groups(table(spark, folder, "entity", "id", "entity_type_id", "name", "normalized_name"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.variant_pairs(_names(spark, folder)).select(F.col("id_a").alias("entity_id_a"), F.col("id_b").alias("entity_id_b"))
+
+
+def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return _names(spark, folder).withColumnRenamed("id", "entity_id")
+
+
 def _similar(spark: SparkSession, folder: str) -> DataFrame:
     return similar.most_similar(similar.usable_vectors(table(spark, folder, "query_embedding_cache", "content_hash", "model", "embedding", "dim", "ts")), k=5)
 
@@ -83,7 +95,7 @@ def p10_texts(spark: SparkSession, folder: str) -> DataFrame:
     return visual.normalized_texts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_neighbours, p5_found, p5_groups, p6_found, p6_pieces, p8_found, p8_items, p8_clean, p9_mix, p9_shares, p10_found, p10_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_neighbours, p5_found, p5_groups, p6_found, p6_pieces, p8_found, p8_items, p8_clean, p9_mix, p9_shares, p10_found, p10_texts)}
 
 _NEIGHBOURS = """
 WITH latest AS (SELECT model, content_hash AS hash, max({'t': ts, 'd': dim, 'v': embedding}) AS x FROM query_embedding_cache GROUP BY model, content_hash),
