@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfall.plans import problems
+from tarnfall.plans import problems, relational
 
 
 def modules() -> list:
-    return [problems]
+    return [problems, relational]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return problems.p3_counts(spark, folder)
+    return relational.a3_trailing_stats_by_model(spark, folder)
