@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfall.plans import problems, relational
+from tarnfall.plans import problems, relational, text
 
 
 def modules() -> list:
-    return [problems, relational]
+    return [problems, relational, text]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
