@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfall.plans import problems, relational, text
+from tarnfall.plans import graphs, problems, relational, text
 
 
 def modules() -> list:
-    return [problems, relational, text]
+    return [problems, relational, text, graphs]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
