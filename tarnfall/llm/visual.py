@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnfall.sources.tables import stage
+
 # Letters of other scripts that look like a Latin letter, as pairs.
 TWINS = {
     "Cyrillic": "aа cс eе iі jј oо pр sѕ xх yу dԁ hһ qԛ wԝ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ GԌ QԚ WԜ",
@@ -191,6 +193,7 @@ def visual_twins(digests: DataFrame) -> DataFrame:
     first; copies of one stored text meet only in the last join, which makes nothing but
     result rows. Repeated ids give each pair once; an id is never paired with itself.
     """
+    digests = stage(digests)  # read three times below
     kinds = digests.select("form", "stored").distinct()
     several = kinds.groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("form")
     members = digests.join(several, "form", "left_semi").distinct()
