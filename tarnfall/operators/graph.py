@@ -75,7 +75,10 @@ CORE_ROWS = 50_000
 
 def _order_core(level: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges = pd.concat(list(batches), ignore_index=True)
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        edges = pd.concat(parts, ignore_index=True)
         after: dict = {}
         pending: dict = {}
         for a, b in zip(edges["a"], edges["b"]):

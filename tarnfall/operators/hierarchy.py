@@ -42,9 +42,10 @@ def parent_links(df: DataFrame, key: str, parent: str, version: Column) -> DataF
 
 
 def _finish_core(batches: Iterator[pd.DataFrame], with_path: bool) -> Iterator[pd.DataFrame]:
-    core = pd.concat(list(batches), ignore_index=True)
-    if core.empty:
+    parts = [b for b in batches if len(b)]
+    if not parts:
         return
+    core = pd.concat(parts, ignore_index=True)
     up = dict(zip(core["id"], core["up"]))
     size = dict(zip(core["id"], core["size"]))
     pending: dict = {}
