@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +27,29 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session.
+
+    They may have another working directory than the driver, or no copy of the package.
+    Spark's own file server hands it out from the driver.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    handle, path = tempfile.mkstemp(prefix="tarnfall-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    atexit.register(lambda: os.path.exists(path) and os.remove(path))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
