@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnfall.functions import json as J
 from tarnfall.functions import metrics as M
 from tarnfall.functions import text as T
 from tarnfall.operators import retrieval as V
@@ -112,6 +113,44 @@ def n8_cut(spark, folder):
     return table(spark, folder, "knowledge_event", "id", "summary").distinct().select("id", F.left("summary", F.lit(200)).alias("summary"))
 
 
+@query()
+def n4_tables(spark, folder):
+    """Tool arguments' filters as tables in text."""
+    m = table(spark, folder, "memory_l0_raw", "id", "payload").distinct()
+    return m.select("id", J.as_table(F.get_json_object("payload", "$.args.filters")).alias("filters")).filter("filters is not null")
+
+
+@query()
+def n5_snake_keys(spark, folder):
+    return table(spark, folder, "graph_node", "id", "properties").distinct().select("id", J.snake_keys("properties").alias("properties"))
+
+
+@query("SELECT DISTINCT id FROM memory_l3_dynamic WHERE json_valid(payload)")
+def n7_canonical(spark, folder):
+    """Ids whose payload has a canonical form; equal values have equal ones."""
+    m = table(spark, folder, "memory_l3_dynamic", "id", "payload").distinct()
+    return m.withColumn("c", J.canonical("payload")).filter("c is not null").select("id").distinct()
+
+
+@query()
+def t12_first_object(spark, folder):
+    k = _docs(spark, folder)
+    return k.select("doc_id", J.first_object("text").alias("object")).filter("object is not null")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, n::INTEGER AS line_no, line FROM l WHERE regexp_matches(line, 'checkpoint .* was')""")
+def s7_grep(spark, folder):
+    lines = _docs(spark, folder).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.filter(F.col("line").rlike("checkpoint .* was")).select("doc_id", "line_no", "line")
+
+
+@query("SELECT doc_id, max(len(string_split(line, ' ')))::INTEGER AS width FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY doc_id")
+def s5_ragged_width(spark, folder):
+    """The widest line of each text, cells parted by spaces."""
+    return _docs(spark, folder).filter("text is not null").select("doc_id", F.array_max(F.transform(F.split("text", "\n"), lambda x: F.size(F.split(x, " ")))).alias("width"))
+
+
 @query()
 def r1_chunks(spark, folder):
     return V.chunks(_docs(spark, folder), "doc_id", "text", "\n")
