@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnfall.functions import json as J
 from tarnfall.functions import metrics as M
