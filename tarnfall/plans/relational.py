@@ -411,3 +411,59 @@ WINDOW w AS (PARTITION BY kb_id ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) WHERE
 def s17_budgeted_sample(spark, folder):
     d = table(spark, folder, "documents", "doc_id", "kb_id", "text")
     return R.within_budget(d, [F.col("doc_id")], F.char_length("text"), 4096, 61440, 20, "kb_id").select("doc_id", F.col("running").cast("bigint").alias("running"))
+
+
+@query("SELECT DISTINCT id, 'entity' AS kind FROM entity WHERE id = (SELECT min(id) FROM entity) UNION ALL SELECT DISTINCT id, 'event' FROM knowledge_event WHERE id = (SELECT min(id) FROM entity) AND NOT EXISTS (SELECT 1 FROM entity WHERE id = (SELECT min(id) FROM entity))")
+def s2_point_lookup(spark, folder):
+    """One record by id: an entity if there is one, else an event."""
+    e = table(spark, folder, "entity", "id").select("id", F.lit("entity").alias("kind"), F.lit(0).alias("o"))
+    v = table(spark, folder, "knowledge_event", "id").select("id", F.lit("event").alias("kind"), F.lit(1).alias("o"))
+    wanted = table(spark, folder, "entity", "id").agg(F.min("id").alias("id"))
+    return e.unionByName(v).join(F.broadcast(wanted), "id").orderBy("o").limit(1).select("id", "kind")  # a point lookup
+
+
+@query("SELECT r.user_id, r.event_id, o.n FROM events r JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY user_id) o USING (user_id) WHERE r.event_type = 'error'")
+def j8_owner_scoped(spark, folder):
+    e = table(spark, folder, "events", "user_id", "event_id", "event_type")
+    own = e.filter("event_type = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return e.filter("event_type = 'error'").join(own, "user_id").select("user_id", "event_id", "n")
+
+
+@query("""WITH x AS (SELECT min(id) AS id FROM entity WHERE entity_type_id = 'person'), r AS (SELECT DISTINCT id, event_id FROM event_entity_relation WHERE entity_id = (SELECT id FROM x))
+SELECT (SELECT count(DISTINCT event_id) FROM r) AS events, (SELECT count(*) FROM r) AS relations, (SELECT count(DISTINCT e.id) FROM knowledge_event e, (SELECT min(name) AS name FROM entity WHERE id = (SELECT id FROM x)) n WHERE contains(e.content, n.name)) AS texts""")
+def a16_rename_impact(spark, folder):
+    """What renaming one entity would touch: events, relations, texts with its name."""
+    entity = table(spark, folder, "entity", "id", "entity_type_id", "name")
+    one = F.broadcast(entity.filter("entity_type_id = 'person'").groupBy("id").agg(F.min("name").alias("name")).orderBy("id").limit(1))
+    r = table(spark, folder, "event_entity_relation", "id", "event_id", "entity_id").distinct().join(one.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    texts = table(spark, folder, "knowledge_event", "id", "content").withColumnRenamed("id", "event").crossJoin(one).filter(F.contains("content", "name"))  # one row
+    return r.agg(F.count_distinct("event_id").alias("events"), F.count(F.lit(1)).alias("relations")).crossJoin(texts.agg(F.count_distinct("event").alias("texts")))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY (kb_id IS NULL), coalesce(kb_id, ''), coalesce(lang, ''), doc_id) AS n FROM documents) WHERE n <= 25")
+def l9_nulls_sorted(spark, folder):
+    d = table(spark, folder, "documents", "doc_id", "kb_id", "lang")
+    return d.orderBy(F.col("kb_id").isNull(), F.coalesce("kb_id", F.lit("")), F.coalesce("lang", F.lit("")), "doc_id").limit(25).select("doc_id")  # a top-k report
+
+
+@query("SELECT id FROM (SELECT DISTINCT id, start_time, created_time FROM knowledge_event) ORDER BY (start_time IS NOT NULL) DESC, coalesce(start_time, created_time) DESC, id LIMIT 30")
+def l6_pinned_first(spark, folder):
+    e = table(spark, folder, "knowledge_event", "id", "start_time", "created_time").distinct()
+    return e.orderBy(F.col("start_time").isNull(), F.desc(F.coalesce("start_time", "created_time")), "id").limit(30).select("id")  # a top-k report
+
+
+@query("SELECT event_id FROM (SELECT event_id, ts FROM events WHERE event_type = 'click' AND contains(lower(props), '1') AND ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 100)")
+def l13_audit_search(spark, folder):
+    import datetime
+
+    e = table(spark, folder, "events", "event_id", "ts", "event_type", "props").filter(R.every(F.col("event_type") == "click", R.contains_any_case("1", "props")))
+    return R.page_before(e.select("event_id", "ts"), "ts", "event_id", (datetime.datetime(2024, 1, 20), -1), 100).select("event_id")
+
+
+@query("SELECT p_partkey, score FROM (SELECT p_partkey, CASE WHEN p_type LIKE '%A%' THEN 2.0 ELSE 0 END + CASE WHEN p_size > 25 THEN 1.0 ELSE -1.0 END + CASE WHEN p_retailprice < 1200 THEN 0.5 ELSE 0 END AS score FROM part WHERE p_size > 5) ORDER BY score DESC, p_partkey LIMIT 40")
+def l14_ranked_candidates(spark, folder):
+    """Hard filters, then additive scores; ties to the smaller key."""
+    p = table(spark, folder, "part", "p_partkey", "p_type", "p_size", "p_retailprice").filter("p_size > 5")
+    add = lambda c, yes, no=0.0: F.when(c, yes).otherwise(no)
+    score = add(F.col("p_type").like("%A%"), 2.0) + add(F.col("p_size") > 25, 1.0, -1.0) + add(F.col("p_retailprice") < 1200, 0.5)
+    return p.select("p_partkey", score.alias("score")).orderBy(F.desc("score"), "p_partkey").limit(40)  # a top-k report
