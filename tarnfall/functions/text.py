@@ -125,3 +125,27 @@ def histogram(c: str, dims: int = 64) -> Column:
     counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(codes, lambda x: x == d)).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
     return F.when(norm > 0, F.transform(counts, lambda v: v / norm)).otherwise(counts)
+
+
+@F.pandas_udf(StringType())
+def folded_lines(s: pd.Series) -> pd.Series:
+    """Runs of three or more lines that share half of the shorter one's beginning with the first: the first, and how many more."""
+
+    def one(text: str) -> str:
+        lines, out, at = text.split("\n"), [], 0
+        while at < len(lines):
+            end = at + 1
+            while end < len(lines):
+                least = min(len(lines[at]), len(lines[end]))
+                same = next((k for k in range(least) if lines[at][k] != lines[end][k]), least)
+                if not least or same * 2 < least:
+                    break
+                end += 1
+            if end - at >= 3:
+                out += [lines[at], f"[{end - at - 1} more like this]"]
+            else:
+                out += lines[at:end]
+            at = end
+        return "\n".join(out)
+
+    return s.map(one, na_action="ignore")

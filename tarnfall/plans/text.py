@@ -79,6 +79,19 @@ def t15_sanitised(spark, folder):
     return _docs(spark, folder).select("doc_id", T.sanitised(F.col("text")).alias("text"))
 
 
+@query("SELECT doc_id, regexp_extract(text, '[0-9]+', 0) AS thought FROM documents WHERE regexp_matches(text, '[0-9]')")
+def t14_thinking(spark, folder):
+    """The first number of each text, taken out of a thinking block around it; a block left open is skipped."""
+    d = _docs(spark, folder).select("doc_id", F.regexp_extract("text", r"[0-9]+", 0).alias("n")).filter("n <> ''")
+    wrapped = F.concat(F.lit("<thinking stage='a'>"), "n", F.lit("</thinking> x <thinking>open"))
+    return d.select("doc_id", F.explode(T.thinking_blocks(wrapped)).alias("thought"))
+
+
+@query()
+def t16_folded_lines(spark, folder):
+    return _docs(spark, folder).select("doc_id", T.folded_lines("text").alias("text"))
+
+
 @query("SELECT doc_id, ceil(strlen(text) / 4)::BIGINT AS tokens, CASE WHEN text IS NULL THEN NULL WHEN length(text) <= 400 THEN length(text) ELSE 407 END AS kept FROM documents")
 def t17_middle_cut(spark, folder):
     return _docs(spark, folder).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), F.char_length(T.middle_cut(F.col("text"), 400)).cast("long").alias("kept"))
