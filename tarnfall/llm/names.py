@@ -2,9 +2,9 @@
 
 Names are parsed into a form without titles, remarks, widths, accents and order; equal
 forms are one class. Classes are blocked by token suffixes: a suffix that few classes
-have is a block by itself; a common one is refined with the other tokens' initials, then
-their beginnings, then their suffixes, and never given up. Pairs within a block are
-compared by the ratio of the longest common subsequence of their tokens, with nicknames,
+have is a block by itself; in a common one only pairs are left out that can't be
+variants, as no other token of theirs is alike, short for or initial of one of the other
+name: what is found doesn't depend on how common a suffix is. Pairs are compared by the ratio of the longest common subsequence of their tokens, with nicknames,
 initials, abbreviations and acronyms counting as what they stand for. Names that give
 initials only, or no middle name, join a group only if there is exactly one for them.
 """
@@ -15,6 +15,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,10 @@ SUFFIX = 5
 #: Tokens whose longest common subsequence reaches this part of their mean length are
 #: spellings of one: about one typing error. The first holds up to six letters.
 RATIO, LONG_RATIO = 0.8, 0.85
+#: The same for two names beside an equal family name that no list has.
+LOOSE_RATIO = 0.75
+#: Longer tokens are found by length and not by what is left of them without some letters.
+VARIED = 11
 
 # Given names, each with its usual short forms.
 NICKNAMES = """
@@ -155,8 +161,41 @@ def parse(name: str, entity_type: str | None) -> tuple[str, list[str]]:
     return "p", sorted(t for t in tokens if t not in _TITLES)
 
 
+def _families(tokens: list[str]) -> list[str]:
+    long = [t for t in tokens if len(t) >= 5 and not given_names(t)]
+    return [max(long, key=len)] if long else [t for t in tokens if len(t) > 1]
+
+
+def _refs(kind: str, tokens: list[str], at: int, legal: set[str]) -> set[str]:
+    """What a pair with a common suffix of token ``at`` shares besides, if it is to be a variant.
+
+    Such a pair has two matches of tokens, or one and an acronym, and at most one of them
+    is of the two tokens with the suffix. A letter tells how a reference is compared:
+    S, O: token ``at`` or another, alike an O; R: alike an R, loosely; G: equal;
+    i, f: initial or full, an i with both; A, L: acronym and long form.
+    """
+    t, others = tokens[at], tokens[:at] + tokens[at + 1 :]
+    if kind == "o":
+        out = {"S" + kind + t} | {"O" + kind + x for x in others}
+        if len(others) == 1 and len(others[0]) <= 4:
+            out.add("A" + "".join(sorted(others[0])))
+        letters = [x[0] for x in others]
+        return out | {"L" + "".join(sorted([*letters, *g])) for g in ("", *(x[0] for x in legal))}
+    families = _families(tokens)
+    out = {"O" + kind + x for x in others if x in families}
+    if t in families:  # the match may be of the family names, then one of the rest is needed
+        out.add("S" + kind + t)
+        for x in others:
+            given = given_names(x)
+            out |= {"G" + g for g in given}
+            out |= {"i" + x} if len(x) == 1 else {"f" + c for c in {x[0], *(g[0] for g in given)}}
+            if len(x) > 1 and not given:
+                out.add("R" + kind + x)
+    return out
+
+
 def _keys(kind: str, tokens: list[str]) -> list[list[str]]:
-    """Of each long token: [suffix, refined by initials..., by beginnings..., by suffixes...]; one list per token and refinement."""
+    """Of each long token: [suffix, references...] (see ``_refs``); a suffix alone is a block however common."""
     if kind == "P":
         t = tokens[0]
         cut = 2 if len(t) >= 4 else 1
@@ -167,12 +206,12 @@ def _keys(kind: str, tokens: list[str]) -> list[list[str]]:
         return [[f"O{t[:2]}{t[4:]}"], [f"O<{t[2:4]}{t[4:]}"], [f"O={t[:4]}"]]
     out = []
     content = [t for t in tokens if t not in _LEGAL] if kind == "o" else tokens
-    for t in content:
-        others = [x for x in content if x is not t]
+    legal = {t for t in tokens if t in _LEGAL} if kind == "o" else set()
+    for at, t in enumerate(content):
         names = given_names(t) if kind == "p" else ()  # a short form is indexed as the name, too
+        refs = sorted(_refs(kind, content, at, legal)) if len(content) > 1 else []
         for word in {t, *names} if len(t) >= SUFFIX - 1 else names:
-            stem = kind + word[-SUFFIX:]
-            out.extend([[stem, f"{stem}|{x[0]}", f"{stem}|{x[:3]}", f"{stem}|{x[-SUFFIX:]}"] for x in others] or [[stem]])
+            out.append([kind + word[-SUFFIX:], *refs])
     return out or [[kind + " ".join(tokens)]]
 
 
@@ -218,12 +257,7 @@ def _same_person(a: list[str], b: list[str]) -> int:
     fa, fb = max(a, key=len), max(b, key=len)
     if len(a) < 2 or len(b) < 2:
         return 1 if len(a) == len(b) == 1 and len(fa) > 5 and alike(fa, fb) else 0
-
-    def families(tokens: list[str]) -> list[str]:
-        long = [t for t in tokens if len(t) >= 5 and not given_names(t)]
-        return [max(long, key=len)] if long else [t for t in tokens if len(t) > 1]
-
-    best = max(((lcs_ratio(x, y), x, y) for x in families(a) for y in families(b)), default=(0.0, "", ""))
+    best = max(((lcs_ratio(x, y), x, y) for x in _families(a) for y in _families(b)), default=(0.0, "", ""))
     if not alike(best[1], best[2]):
         return 0
     rest_a, rest_b = list(a), list(b)
@@ -237,7 +271,7 @@ def _same_person(a: list[str], b: list[str]) -> int:
         gx, gy = given_names(x), given_names(y)
         if gx and gy:
             return (3 if len(gx) == len(gy) == 1 or gx == gy else 1) if gx & gy else 0
-        return 2 if not (gx or gy) and lcs_ratio(x, y) >= 0.75 else 0
+        return 2 if not (gx or gy) and lcs_ratio(x, y) >= LOOSE_RATIO else 0
 
     while rest_a and rest_b:
         score, x, y = max((pair(x, y), x, y) for x in rest_a for y in rest_b)
@@ -303,19 +337,74 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.int32()), *(pa.array(x, pa.bool_()) for x in lacks)], names=["a", "b", "verdict", "lack_a", "lack_b"])
 
 
+def _most_left_out(n: int, ratio: float) -> int:
+    """How many of ``n`` letters a token may have besides those common with one that reaches ``ratio``."""
+    return n - ceil(ratio * n / (2 - ratio) - 1e-9)
+
+
+def _token_keys(token: str, loose: bool) -> list[tuple[str, int]]:
+    """Keys of a token after its kind; tokens that are alike or abbreviations meet in one, 0 with 0 or 1 with 2."""
+    kind, t = token[0], token[1:]
+    n, ratio = len(t), LOOSE_RATIO if loose else RATIO if len(t) <= 6 else LONG_RATIO
+    out = [(f"{kind}#{n}", 2)]
+    if n > VARIED:
+        out += [(f"{kind}#{m}", 1) for m in range(ceil(ratio * n / (2 - ratio) - 1e-9), int((2 - ratio) * n / ratio + 1e-9) + 1)]
+    else:
+        out += [(kind + v, 0) for d in range(_most_left_out(n, ratio) + 1) for v in set(map("".join, combinations(t, n - d)))]
+    if kind == "o" and n >= 3:
+        out += [(f"o<{t}", 1), *((f"o<{t[:k]}", 2) for k in range(3, n))]
+    return out
+
+
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(k, t, loose, side) for t, loose in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, side in _token_keys(t, loose)]
+        columns = list(zip(*rows)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_(), pa.int32()))], names=["key", "token", "loose", "side"])
+
+
+def _token_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        close, near = [], []
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            p, q = x[1:], y[1:]
+            close.append(alike(p, q) or (x[0] == "o" and (_abbreviates(p, q) or _abbreviates(q, p))))
+            near.append(lcs_ratio(p, q) >= LOOSE_RATIO)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(close, pa.bool_()), pa.array(near, pa.bool_())], names=["x", "y", "close", "near"])
+
+
+def _near_tokens(tokens: DataFrame) -> DataFrame:
+    """``value, to``: of ``token, loose``, the references O and R of one that those of another match."""
+    rows = stage(tokens.mapInArrow(_token_rows, "key string, token string, loose boolean, side int"))
+    a = rows.filter("side < 2").select("key", F.col("token").alias("a"))
+    b = rows.filter("side <> 1").select("key", F.col("token").alias("b"))
+    met = a.join(b, "key").filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    found = stage(met.mapInArrow(_token_matches, "x string, y string, close boolean, near boolean").filter("close or near"))
+    both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"), "close", "near"))
+    of = lambda tag, kept: both.filter(kept).select(F.concat(F.lit(tag), "x").alias("value"), F.concat(F.lit(tag), "y").alias("to"))
+    return of("O", "close").unionByName(of("R", "near"))
+
+
 def blocked_pairs(forms: DataFrame) -> DataFrame:
     """``a < b``: forms that share a block; ``forms`` has ``form, keys``.
 
-    Each chain of keys is followed until a key that at most ``COMMON`` forms have; the
-    chain's last key is taken however many have it.
+    A suffix of at most ``COMMON`` forms is a block. Of a more common one, the pairs are
+    those that can be variants: a reference of one matches one of the other.
     """
-    chains = forms.select("form", F.explode("keys").alias("chain"))
-    level = chains.select("form", F.posexplode("chain").alias("level", "key"), F.size("chain").alias("n")).distinct()
-    counts = level.groupBy("key").agg(F.count_distinct("form").alias("c"))
-    # a key is used if it is rare or last in its chain, and the keys before it in the chain are common: those hold more
-    used = level.join(counts, "key").filter((F.col("c") <= COMMON) | (F.col("level") == F.col("n") - 1)).select("form", "key").distinct()
-    other = used.select("key", F.col("form").alias("b"))
-    return used.withColumnRenamed("form", "a").join(other, "key").filter("a < b").select("a", "b").distinct()
+    chains = forms.select("form", F.explode("keys").alias("chain")).select("form", F.col("chain")[0].alias("key"), F.expr("slice(chain, 2, size(chain))").alias("refs"))
+    common = F.broadcast(chains.groupBy("key").agg(F.count_distinct("form").alias("c")).filter(F.col("c") > COMMON).select("key", F.lit(True).alias("common")))
+    chains = stage(chains.join(common, "key", "left"))
+    used = chains.filter("common is null or size(refs) = 0").select("form", "key").distinct()
+    rare = used.withColumnRenamed("form", "a").join(used.withColumnRenamed("form", "b"), "key").filter("a < b").select("a", "b")
+    refs = stage(chains.filter("common").select("form", "key", F.explode("refs").alias("ref")).distinct())
+    tag, rest = F.substring("ref", 1, 1), F.expr("substring(ref, 2)")
+    tokens = refs.filter(tag.isin("S", "O", "R")).groupBy(rest.alias("token")).agg(F.max(tag == "R").alias("loose"))
+    left = refs.filter(~tag.isin("S", "f", "L")).select("key", F.col("form").alias("a"), F.col("ref").alias("value"))
+    left = left.unionByName(left.join(_near_tokens(tokens), "value").select("key", "a", F.col("to").alias("value")))
+    other = F.when(tag == "S", F.concat(F.lit("O"), rest)).when(tag == "f", F.concat(F.lit("i"), rest)).when(tag == "L", F.concat(F.lit("A"), rest)).when(tag != "A", F.col("ref"))
+    right = refs.select("key", F.col("form").alias("b"), other.alias("value")).filter("value is not null")
+    met = left.join(right, ["key", "value"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return rare.unionByName(met).distinct()
 
 
 def _only_choice(links: DataFrame, sure: DataFrame) -> DataFrame:

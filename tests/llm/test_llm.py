@@ -191,6 +191,48 @@ def test_mix_meets_shares(spark):
     assert empty.chosen.count() == 0 and all(x.tokens == 0 and x.actual_share == 0 for x in empty.shares().collect())
 
 
+def _verdicts(spark, rows):
+    forms = {k + " " + " ".join(t): names._keys(k, t) for k, t in (names.parse(n, e) for n, e in rows) if t}
+    df = spark.createDataFrame(list(forms.items()), "form string, keys array<array<string>>")
+    got = names.blocked_pairs(df).mapInArrow(names._compared, "a string, b string, verdict int, lack_a boolean, lack_b boolean").filter("verdict > 0").select("a", "b", "verdict").collect()
+    return forms, {tuple(x) for x in got}
+
+
+def test_names_of_a_common_block(spark):
+    r = random.Random(3)
+    surnames = {"jal" + "".join(r.choice("bdfgkmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(100)}
+    rows = [(f"Daniel {s}", "person") for s in surnames] + [("Daniel Jalehalel", "person"), ("Daniel Jalehaell", "person")]
+    _, got = _verdicts(spark, rows)
+    assert ("p daniel jalehaell", "p daniel jalehalel") in {x[:2] for x in got}
+
+
+def test_name_pairs_do_not_depend_on_common(spark, monkeypatch):
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("bdklmnrst") + r.choice("aeio") for _ in range(n))
+
+    def typo(s):
+        k = r.randrange(1, len(s) - 1)
+        return r.choice([s[:k] + s[k + 1 :], s[:k] + "e" + s[k:], s[:k] + s[k + 1] + s[k] + s[k + 2 :], s[:k] + "o" + s[k + 1 :]])
+
+    rows = []
+    for family, given in [(word(4), r.choice(["Daniel", "Dan", "William", "Bill", word(3)])) for _ in range(40)] + [("Durelejin", word(3)) for _ in range(30)]:
+        middle = r.choice(["", "", word(3), "k"])
+        for f, g in ((family, given), (typo(family), given), (family, given[0]), (family, typo(given)), (typo(typo(family)), given), ("Durelejin", given)):
+            rows.append((f"{g} {middle} {f}", "person"))
+    for _ in range(40):
+        w = [r.choice(["Systems", "Research", "Ecosystems"]), word(4), word(3), r.choice(["Administration", word(7)])]
+        for x in (w, [w[0], typo(w[1]), *w[2:]], [w[0], w[1], w[2], w[3][:5]], [w[0], "".join(v[0] for v in w[1:])], [typo(w[0]), *w[1:]], w[:2], [w[0], typo(w[1])]):
+            rows.append((" ".join([*x, r.choice(["", "Ltd"])]), "organization"))
+    monkeypatch.setattr(names, "COMMON", 10**9)
+    forms, whole = _verdicts(spark, rows)
+    suffixes = {f: {c[0] for c in k} for f, k in forms.items()}
+    same = {"p": names._same_person, "o": lambda a, b: int(names._same_organisation(a, b))}
+    truth = {(a, b, v) for a in forms for b in forms if a < b and a[0] == b[0] and suffixes[a] & suffixes[b] and (v := same[a[0]](a[2:].split(" "), b[2:].split(" ")))}
+    assert whole == truth and len(truth) > 300
+    monkeypatch.setattr(names, "COMMON", 1)
+    assert _verdicts(spark, rows)[1] == truth
+
+
 def test_names(spark):
     rows = [
         ("1", "person", "Frederick Bidifumis", None, 0), ("2", "person", "  BIDIFUMIS, Fred ", "", 0), ("3", "other", "Ｆ. Bidifumis", "f. bidifumis", 0), ("4", "person", "Frederik Bidífumis (new)", "x", 0),
