@@ -6,6 +6,9 @@ most join rows. ``warning`` tells which one did.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -101,7 +104,7 @@ def hyperedges(relations: DataFrame, min_events: int = 3, min_entities: int = 3,
 
     Entities are transactions and their events items of frequent-itemset mining. The
     number of sets is exponential in the events of one entity, so entities with more
-    than ``most_events`` are refused, not cut.
+    than ``most_events`` are refused, not cut; :func:`closed_hyperedges` takes any.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -119,6 +122,63 @@ def hyperedges(relations: DataFrame, min_events: int = 3, min_entities: int = 3,
     return out.select(F.sha2(F.concat_ws("|", F.array_join("events", ","), F.array_join("entities", ",")), 256).alias("id"), "events", "entities")
 
 
+def _closed_sets(first: str, events: list[tuple[str, list[str]]], min_events: int, min_entities: int) -> Iterator[tuple[list[str], list[str]]]:
+    """Close-by-one: the closed sets whose first entity is ``first``, from all events of it; each once."""
+    masks: dict[str, int] = {}
+    for k, (_, members) in enumerate(events):
+        for x in members:
+            masks[x] = masks.get(x, 0) | 1 << k
+    names = sorted(x for x, m in masks.items() if m.bit_count() >= min_events)
+    sets = [masks[x] for x in names]
+    start = names.index(first)
+    # a set, the entity it was made with, and the entities that can be in it or in a larger one
+    todo = [((1 << len(events)) - 1, start, range(len(names)), frozenset())]
+    while todo:
+        extent, at, near, before = todo.pop()
+        near = [k for k in near if (sets[k] & extent).bit_count() >= min_events]
+        inside = [k for k in near if sets[k] & extent == extent]
+        if any(k < at and k not in before for k in inside):
+            continue  # made from the earlier one
+        if len(inside) >= min_entities:
+            yield [e for k, (e, _) in enumerate(events) if extent >> k & 1], [names[k] for k in inside]
+        own = frozenset(inside)
+        todo.extend((extent & sets[k], k, near, own) for k in near if k > at and k not in own)
+
+
+def closed_hyperedges(relations: DataFrame, min_events: int = 3, min_entities: int = 3) -> DataFrame:
+    """``id, events, entities``: all closed sets of events that enough entities share, with these.
+
+    Closed: no other event has all of the entities. Every set that :func:`hyperedges`
+    lists is part of a closed one with the same entities, so nothing is lost, and the
+    work is in proportion to the closed sets and not to the subsets of an entity's events.
+    """
+    links = relations.filter("event_id <> '' and entity_id <> ''").select("event_id", "entity_id").distinct()
+    often = links.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_events).select("entity_id")
+    events = links.join(often, "entity_id", "left_semi").groupBy("event_id").agg(F.sort_array(F.collect_set("entity_id")).alias("members")).filter(F.size("members") >= min_entities)
+    own = events.select(F.explode("members").alias("first"), F.struct("event_id", "members").alias("event")).groupBy("first").agg(F.sort_array(F.collect_list("event")).alias("own"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first, own in zip(b.column(0), b.column(1)):
+                rows = [(x["event_id"], x["members"]) for x in own.as_py()]
+                if len(rows) < min_events:
+                    continue
+                out: list = []
+                for edge in _closed_sets(first.as_py(), rows, min_events, min_entities):
+                    out.append(edge)
+                    if len(out) == 1000:
+                        yield _edge_batch(out)
+                        out = []
+                yield _edge_batch(out)
+
+    edges = own.mapInArrow(found, "events array<string>, entities array<string>")
+    return edges.select(F.sha2(F.concat_ws("|", F.array_join("events", ","), F.array_join("entities", ",")), 256).alias("id"), "events", "entities")
+
+
+def _edge_batch(edges: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.list_(pa.string())) for k in (0, 1)], names=["events", "entities"])
+
+
 def activated(edges: DataFrame, entities: list[str]) -> DataFrame:
     """Hyperedges that hold one of the entities."""
     return edges.filter(F.arrays_overlap("entities", F.array(*map(F.lit, entities))))

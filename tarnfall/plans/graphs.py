@@ -154,6 +154,12 @@ def m9_hyperedges(spark, folder):
     return H.activated(H.hyperedges(r), ["a"]).select(F.array_join("events", ",").alias("events"), F.array_join("entities", ",").alias("entities"))
 
 
+@query()
+def m9_closed_hyperedges(spark, folder):
+    """All closed hyperedges of the real relations."""
+    return H.closed_hyperedges(_relations(spark, folder)).select("id", F.array_join("events", ",").alias("events"), F.array_join("entities", ",").alias("entities"))
+
+
 @query("SELECT DISTINCT id, event_id, CASE WHEN entity_id = (SELECT min(entity_id) FROM event_entity_relation WHERE entity_id <> '') THEN (SELECT max(entity_id) FROM event_entity_relation) ELSE entity_id END AS entity_id FROM event_entity_relation")
 def m12_merge(spark, folder):
     r = _relations(spark, folder)
