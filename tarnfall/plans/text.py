@@ -47,6 +47,14 @@ def t3_edit_distance(spark, folder):
     return e.select("id", F.round(d, 6).alias("distance"), (d < 0.2).alias("same")).distinct()
 
 
+@query()
+def t3_edit_distance_all(spark, folder):
+    """As t3_edit_distance, of names in any script."""
+    e = table(spark, folder, "entity", "id", "name", "normalized_name").filter("name is not null and normalized_name is not null").distinct()
+    d = T.edit_distance(T.trimmed_lower("name"), T.trimmed_lower("normalized_name"))
+    return e.select("id", F.round(d, 6).alias("distance"), (d < 0.2).alias("same")).distinct()
+
+
 @query("SELECT p_partkey, coalesce(a.name, p_brand) AS brand FROM part LEFT JOIN (VALUES ('Brand#11', 'Brand A'), ('Brand#12', 'Brand A')) a(alias, name) ON p_brand = alias")
 def t5_alias(spark, folder):
     alias = spark.createDataFrame([("Brand#11", "Brand A"), ("Brand#12", "Brand A")], "p_brand string, name string")
@@ -113,6 +121,13 @@ def t22_slug(spark, folder):
     return e.select("id", T.slug(F.col("name")).alias("slug")).distinct()
 
 
+@query()
+def t22_slug_all(spark, folder):
+    """As t22_slug, of names in any script."""
+    e = table(spark, folder, "entity", "id", "name").filter("name is not null")
+    return e.select("id", T.slug(F.col("name")).alias("slug")).distinct()
+
+
 @query("SELECT DISTINCT id, CASE WHEN json_valid(properties) THEN coalesce(json_extract_string(properties, '$.summary'), json_extract_string(properties, '$.description')) END AS about FROM graph_node")
 def n1_safe_extract(spark, folder):
     n = table(spark, folder, "graph_node", "id", "properties").distinct()

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 from tarnfall.operators import multihop as H
+from tarnfall.plans import text
 
 
 def _relations(spark, links):
@@ -33,3 +34,40 @@ def test_closed_hyperedges_stand_for_all(spark):
     assert every and all(set(x.events) <= closed[tuple(x.entities)] for x in every)
     assert {tuple(x.entities) for x in every} == set(closed)
     assert H.closed_hyperedges(rel.filter("false")).count() == 0
+
+
+NAMES = ["Zoë Müller", "ＡＢＣ Ｌｔｄ", "王小明 老师", "Иван Петров", "O’Neil — Co", "Plain Name", "  Ärzte  ", "…", "", "é" * 80, None, "😀 ok", "Straße 7"]
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i] + [0] * len(b)
+        for j, y in enumerate(b, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    return row[-1]
+
+
+def _entities(spark, folder):
+    rows = [(str(k), n, m) for k, (n, m) in enumerate(zip(NAMES, ["zoe müller", "abc ltd", "王小名", "иван петров", "o'neil - co", "plain name", "ärzte", "...", "", "e" * 80, "x", None, "strasse 7"]))]
+    spark.createDataFrame(rows, "id string, name string, normalized_name string").write.parquet(f"{folder}/entity.parquet")
+    return rows
+
+
+def test_edit_distance_of_all_names(spark, tmp_path):
+    rows, want = _entities(spark, tmp_path), {}
+    for i, n, m in rows:
+        if n is not None and m is not None:
+            a, b = n.strip().lower(), m.strip().lower()
+            d = _levenshtein(a, b) / max(len(a), len(b), 1)
+            want[i] = (round(d, 6), d < 0.2)
+    assert {x.id: (x.distance, x.same) for x in text.t3_edit_distance_all(spark, str(tmp_path)).collect()} == want and len(want) == 11
+
+
+def test_slug_of_all_names(spark, tmp_path):
+    rows, want = _entities(spark, tmp_path), {}
+    for i, n, _ in rows:
+        if n is not None:
+            s = "".join(c if c.isalnum() else "-" for c in n.lower())
+            want[i] = "-".join(x for x in s.split("-") if x)[:60].rstrip("-") or "memory"
+    assert {x.id: x.slug for x in text.t22_slug_all(spark, str(tmp_path)).collect()} == want and len(want) == 12
