@@ -72,6 +72,13 @@ def terms(c: Column) -> Column:
     return F.array_distinct(F.concat(find(r"https?://[^\s)>\]]+"), find(r"`([^`\n]+)`", 1), words, find(r"[\x{4e00}-\x{9fff}]{2,}")))
 
 
+def all_terms(c: Column) -> Column:
+    """As :func:`terms`, with the words of every script whole, accents included, and all Han runs."""
+    find = lambda p, g=0: F.regexp_extract_all(c, F.lit(p), F.lit(g))
+    words = F.filter(F.transform(find(r"[\p{L}&&[^\p{IsHan}]][[\p{L}\p{M}\p{N}_-]&&[^\p{IsHan}]]{3,}"), F.lower), lambda w: ~w.isin(*STOP_WORDS))
+    return F.array_distinct(F.concat(find(r"https?://[^\s)>\]]+"), find(r"`([^`\n]+)`", 1), words, find(r"\p{IsHan}{2,}")))
+
+
 def sanitised(c: Column) -> Column:
     """Without terminal colours, overwritten line parts, trailing blanks and runs of empty lines."""
     for pattern, to in ((r"\x1b\[[0-9;?]*[A-Za-z]", ""), (r"\r\n", "\n"), (r"(?m)^[^\n]*\r", ""), (r"(?m)[ \t]+$", ""), (r"\n{3,}", "\n\n")):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnfall.functions import text as T
 from tarnfall.operators import aggregates as A
 from tarnfall.operators import relational as R
 from tarnfall.operators import windows as W
@@ -201,6 +202,25 @@ def a8_term_frequency(spark, folder):
     return t.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.min("created_time").alias("first_seen"), F.max("created_time").alias("last_seen"))
 
 
+def _terms(spark, folder):
+    d = table(spark, folder, "documents", "doc_id", "created_time", "text")
+    return d.select("doc_id", "created_time", F.explode(T.all_terms(F.col("text"))).alias("term"))
+
+
+@query()
+def a8_all_terms(spark, folder):
+    """As a8_term_frequency, of the terms of every script."""
+    return _terms(spark, folder).groupBy("term").agg(F.count_distinct("doc_id").alias("documents"), F.min("created_time").alias("first_seen"), F.max("created_time").alias("last_seen"))
+
+
+@query()
+def a8_term_documents(spark, folder):
+    """The distinct documents of each term of a8_all_terms, a row each, numbered by first appearance, then id."""
+    # parted by term at once, which serves the grouping, too
+    t = _terms(spark, folder).repartition("term").groupBy("term", "doc_id").agg(F.min("created_time").alias("first_seen"))
+    return t.select("term", "doc_id", F.row_number().over(Window.partitionBy("term").orderBy(F.asc_nulls_last("first_seen"), "doc_id")).alias("place"))
+
+
 @query("SELECT user_id, props AS message, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events WHERE event_type = 'error' GROUP BY user_id, props")
 def a9_error_patterns(spark, folder):
     e = table(spark, folder, "events", "user_id", "props", "ts", "event_type").filter("event_type = 'error'")

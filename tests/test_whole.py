@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 from tarnfall.operators import multihop as H
-from tarnfall.plans import text
+from tarnfall.plans import relational, text
 
 
 def _relations(spark, links):
@@ -71,3 +71,16 @@ def test_slug_of_all_names(spark, tmp_path):
             s = "".join(c if c.isalnum() else "-" for c in n.lower())
             want[i] = "-".join(x for x in s.split("-") if x)[:60].rstrip("-") or "memory"
     assert {x.id: x.slug for x in text.t22_slug_all(spark, str(tmp_path)).collect()} == want and len(want) == 12
+
+
+def test_terms_of_every_script(spark, tmp_path):
+    rows = [(1, 20, "La qualité du café, 知识图谱 与检索。"), (2, 10, "память и QUALITÉ `x y` this"), (3, None, "知识图谱 https://a.b/c память память"), (3, None, "知识图谱"), (4, 5, None), (5, 7, "")]
+    spark.createDataFrame(rows, "doc_id long, created_time long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.term: (x.documents, x.first_seen, x.last_seen) for x in relational.a8_all_terms(spark, str(tmp_path)).collect()}
+    once = lambda t: (1, t, t)
+    assert got == {"qualité": (2, 10, 20), "café": once(20), "知识图谱": (2, 20, 20), "与检索": once(20), "память": (2, 10, 10), "x y": once(10), "https://a.b/c": once(None), "https": once(None)}
+    ids: dict = {}
+    for x in relational.a8_term_documents(spark, str(tmp_path)).orderBy("term", "place").collect():
+        ids.setdefault(x.term, []).append((x.place, x.doc_id))
+    assert ids["qualité"] == [(1, 2), (2, 1)] and ids["知识图谱"] == [(1, 1), (2, 3)] and ids["память"] == [(1, 2), (2, 3)]
+    assert {t: len(v) for t, v in ids.items()} == {t: v[0] for t, v in got.items()}
