@@ -95,6 +95,14 @@ def t14_thinking(spark, folder):
     return d.select("doc_id", F.explode(T.thinking_blocks(wrapped)).alias("thought"))
 
 
+@query()
+def t14_thinking_found(spark, folder):
+    """The closed thinking blocks of documents' texts and memories' payloads as they are, numbered in each."""
+    d = _docs(spark, folder).select(F.lit("documents").alias("table_name"), F.col("doc_id").cast("string").alias("row_id"), "text")
+    m = table(spark, folder, "memory_l0_raw", "id", "payload").distinct().select(F.lit("memory_l0_raw").alias("table_name"), F.col("id").cast("string").alias("row_id"), F.col("payload").alias("text"))
+    return d.unionByName(m).select("table_name", "row_id", F.posexplode(T.thinking_blocks(F.col("text"))).alias("n", "thought"))
+
+
 @query()
 def t16_folded_lines(spark, folder):
     return _docs(spark, folder).select("doc_id", T.folded_lines("text").alias("text"))
@@ -110,6 +118,12 @@ def t18_without_tags(spark, folder):
     return _docs(spark, folder).select("doc_id", F.trim(T.without_tags(F.concat(F.lit("<b>"), F.col("doc_id").cast("string"), F.lit("</b>")))).alias("plain"))
 
 
+@query()
+def t18_plain_texts(spark, folder):
+    """The documents' texts as they are, without tags."""
+    return _docs(spark, folder).select("doc_id", T.without_tags(F.col("text")).alias("plain"))
+
+
 @query("SELECT o_orderkey, CASE WHEN x >= 100000000 THEN printf('%.1f', (x + 5000000) // 10000000 / 10.0) || '亿' WHEN x >= 10000 THEN printf('%.1f', (x + 500) // 1000 / 10.0) || '万' ELSE x::VARCHAR END AS heat FROM (SELECT o_orderkey, o_orderkey * 997 AS x FROM orders)")
 def t19_heat(spark, folder):
     return table(spark, folder, "orders", "o_orderkey").select("o_orderkey", T.heat(F.col("o_orderkey") * 997).alias("heat"))

@@ -84,3 +84,14 @@ def test_terms_of_every_script(spark, tmp_path):
         ids.setdefault(x.term, []).append((x.place, x.doc_id))
     assert ids["qualité"] == [(1, 2), (2, 1)] and ids["知识图谱"] == [(1, 1), (2, 3)] and ids["память"] == [(1, 2), (2, 3)]
     assert {t: len(v) for t, v in ids.items()} == {t: v[0] for t, v in got.items()}
+
+
+def test_blocks_and_tags_of_whole_texts(spark, tmp_path):
+    docs = [(1, "a <thinking>one\ntwo</thinking> b <thinking stage='x'>three</thinking> c"), (2, "<p>Tom &amp; <b>Ann</b></p><script>x<y</script>end"), (3, "<thinking>open"), (4, None)]
+    memories = [("m1", '{"text": "<thinking>four</thinking>"}'), ("m1", '{"text": "<thinking>four</thinking>"}'), ("m2", None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(memories, "id string, payload string").write.parquet(f"{tmp_path}/memory_l0_raw.parquet")
+    got = sorted(tuple(x) for x in text.t14_thinking_found(spark, str(tmp_path)).collect())
+    assert got == [("documents", "1", 0, "one\ntwo"), ("documents", "1", 1, "three"), ("memory_l0_raw", "m1", 0, "four")]
+    plain = {x.doc_id: x.plain for x in text.t18_plain_texts(spark, str(tmp_path)).collect()}
+    assert plain == {1: "a one\ntwo b three c", 2: "Tom & Ann\nend", 3: "open", 4: None}
