@@ -10,7 +10,7 @@ is what the shuffle on the prefix does. Candidates that differ in too many bits
 shingle sets.
 
 Signatures come from one hash per shingle: the hash names a bin and a value, and each
-bin keeps its least value. A text with too few shingles to reach all bins throws them
+bin keeps its least value. A text with too few different shingles to reach all bins throws them
 again, with other hashes, into a later round; earlier rounds win, so two texts agree in
 a bin with exactly the probability of their similarity, whatever their lengths.
 """
@@ -82,6 +82,11 @@ def shingle_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray
 def signatures(hashes: np.ndarray, owner: np.ndarray, texts: int, bins: int) -> np.ndarray:
     """One row of ``bins`` values per text; see the module's text."""
     out = np.full(texts * bins, np.iinfo(np.uint64).max, dtype=np.uint64)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]  # repeats fill no bins
     counts = np.bincount(owner, minlength=texts)
     draws = bins * math.log(bins * 20)  # so many fill all bins but for one text in twenty
     rounds = np.where(counts > 0, np.ceil(draws / np.maximum(counts, 1)), 0).astype(np.int64)

@@ -191,6 +191,16 @@ def test_mix_meets_shares(spark):
     assert empty.chosen.count() == 0 and all(x.tokens == 0 and x.actual_share == 0 for x in empty.shares().collect())
 
 
+def test_near_duplicates_of_repetitive_texts(spark):
+    r = random.Random(6)
+    rows = []
+    for k in range(30):
+        passage = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+        rows += [(f"{k}a", passage * 20 + passage[:4]), (f"{k}b", passage + passage[:4])]  # the same 60 shingles
+    found = {tuple(x) for x in neardup.NearDuplicates(spark.createDataFrame(rows, "id string, text string"), "id", ["text"]).pairs().collect()}
+    assert found == {(f"{k}a", f"{k}b") for k in range(30)}
+
+
 def _verdicts(spark, rows):
     forms = {k + " " + " ".join(t): names._keys(k, t) for k, t in (names.parse(n, e) for n, e in rows) if t}
     df = spark.createDataFrame(list(forms.items()), "form string, keys array<array<string>>")
