@@ -1,13 +1,13 @@
-"""Near-duplicate texts by a MinHash LSH forest with exact verification.
+"""Near-duplicate texts by MinHash LSH banding with exact verification.
 
 Texts are reduced to classes of equal normalised text first, so exact copies never meet
-in the search. Every class gets a signature; each tree of the forest reads its own part
-of it as a path in a prefix trie. Two classes are candidates if their paths share a
-prefix in some tree. The prefix starts at the tries' full depth and is shortened until a
-pair at the similarity limit would be found with the target probability; sorting by path
-is what the shuffle on the prefix does. Candidates that differ in too many bits of a
-128-bit sketch are dropped inside the join, the rest is verified on the texts' whole
-shingle sets.
+in the search. Every class gets a signature, of which each tree reads its own part as a
+path. Two classes are candidates if their paths share a prefix in some tree. The prefix
+is computed once: the longest with which a pair at the similarity limit would be found
+with the target probability. It doesn't adapt to the data, so this is banding and not a
+forest of prefix tries; a shuffle on the prefix finds the candidates. Those that differ
+in too many bits of a 128-bit sketch are dropped inside the join, which may drop a true
+pair; the rest is verified on the texts' whole shingle sets.
 
 Signatures come from one hash per shingle: the hash names a bin and a value, and each
 bin keeps its least value. A text with too few different shingles to reach all bins throws them
