@@ -3,8 +3,11 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from tarnfall.operators import multihop as H
 from tarnfall.plans import relational, text
+from tarnfall.streaming import queries as S
 
 
 def _relations(spark, links):
@@ -95,3 +98,43 @@ def test_blocks_and_tags_of_whole_texts(spark, tmp_path):
     assert got == [("documents", "1", 0, "one\ntwo"), ("documents", "1", 1, "three"), ("memory_l0_raw", "m1", 0, "four")]
     plain = {x.doc_id: x.plain for x in text.t18_plain_texts(spark, str(tmp_path)).collect()}
     assert plain == {1: "a one\ntwo b three c", 2: "Tom & Ann\nend", 3: "open", 4: None}
+
+
+def _file(spark, folder, rows):
+    spark.createDataFrame(rows, "k string, at string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def _streamed(spark, folder):
+    return spark.readStream.schema("k string, at string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def test_idle_sessions(spark, tmp_path):
+    _file(spark, tmp_path, [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 01:00:00"), ("b", "2024-01-01 00:30:00"), ("a", "2024-01-01 05:00:00")])
+    _file(spark, tmp_path, [("c", "2024-01-02 00:00:00")])  # moves the watermark over the others' ends
+    found = S.run_once(spark, S.idle_sessions(_streamed(spark, tmp_path), "at", "k"), f"{tmp_path}/checkpoint", f"{tmp_path}/sink").collect()
+    assert sorted((x.k, str(x.started), str(x.ended), x.events) for x in found) == [
+        ("a", "2024-01-01 00:00:00", "2024-01-01 03:00:00", 2),
+        ("a", "2024-01-01 05:00:00", "2024-01-01 07:00:00", 1),
+        ("b", "2024-01-01 00:30:00", "2024-01-01 02:30:00", 1),
+    ]  # c may go on
+
+
+def test_cursor_batches(spark, tmp_path):
+    seen: list = []
+
+    def failing(df, n):
+        raise RuntimeError("not applied")
+
+    def kept(df, n):
+        seen.append((n, sorted(x.k for x in df.collect())))
+
+    run = lambda f: S.cursor_batches(_streamed(spark, tmp_path), f"{tmp_path}/checkpoint", f)
+    _file(spark, tmp_path, [("a", ""), ("b", "")])
+    with pytest.raises(Exception, match="not applied"):
+        run(failing)
+    run(kept)
+    assert seen == [(0, ["a", "b"])]  # what failed comes again, under its number
+    _file(spark, tmp_path, [("c", "")])
+    run(kept)
+    run(kept)
+    assert seen == [(0, ["a", "b"]), (1, ["c"])]
