@@ -128,12 +128,59 @@ def test_signatures_agree_as_often_as_sets():
     for n in (12, 60, 3000):
         base = "".join(r.choice("abcdefgh ") for _ in range(n + 5))
         a, b = neardup.normalized([base, base[: int(n * 0.8)] + "z" * int(n * 0.2)])
-        hashes, owner = neardup.shingle_hashes([a, b], 5)
+        hashes, owner = neardup.distinct_shingles(*neardup.shingle_hashes([a, b], 5))
         s = neardup.signatures(hashes, owner, 2, 4000)
         x, y = ({t[k : k + 5] for k in range(len(t) - 4)} for t in (a, b))
         assert abs((s[0] == s[1]).mean() - len(x & y) / len(x | y)) < 0.05
 
 
+def test_large_nodes_are_dealt_in_blocks(spark, monkeypatch):
+    """A node of many paths gives the same pairs, whatever the size of the blocks, at every level."""
+    r = random.Random(9)
+    rows = [(h, r.choice([0, 1, 1 << 40, 7 << 24]) << 8 | r.choice([60, 61, 64]), 1000 * h + k) for h, m in ((1, 57), (2, 1), (3, 7), (4, 200)) for k in range(m)]
+    df = spark.createDataFrame(rows, "head long, tail long, c1 long")
+    for level in (0, 1):
+        want = {}
+        for h, t, c in rows:
+            for g, u, d in rows:
+                n = next((k for k in range(neardup.LEVELS) if (t >> 40 - 16 * k) & 0xFFFF != (u >> 40 - 16 * k) & 0xFFFF), neardup.LEVELS)
+                if h == g and c < d and abs((t & 255) - (u & 255)) <= 2 and (n >= 1 if level else n == 0):
+                    want[c, d] = n
+        for run in (5, 40, 1000):
+            monkeypatch.setattr(neardup, "RUN", run)
+            assert {(x.c1, x.d1): x.n for x in neardup.trie_pairs(df, 2, level).collect()} == want
+
+
+def test_bins_rule_out_no_similar_pair():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(n)) for n in (8, 300, 300, 9000, 40000)]
+    texts += [t[: int(len(t) * f)] for t in texts for f in (0.9, 0.75, 0.5)]
+    table = pa.table({"id": [str(k) for k in range(len(texts))], "text": texts})
+    codes = {}
+
+    class Source:
+        def select(self, *_):
+            return self
+
+        filter = select
+
+        def mapInArrow(self, f, _):
+            for b in f(iter(table.to_batches())):
+                codes.update({i: (s, x) for i, s, x in zip(*(b.column(k).to_pylist() for k in (0, 3, 4)))})
+
+    neardup.coded(Source(), "id", ["text"], 5, 26, 5)
+    sets = [{t[k : k + 5] for k in range(len(t) - 4)} for t in neardup.normalized(texts)]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if str(a) in codes and str(b) in codes]
+    columns = list(zip(*[(a, b, 0, *codes[str(a)], *codes[str(b)]) for a, b in pairs]))
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=list("abcdefg"))
+    kept = {(x["c1"], x["d1"]) for b in neardup._possible(0.7)(iter([batch])) for x in b.to_pylist()}
+    near = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    assert near <= kept and len(near) >= 8 and len(kept) < len(pairs)
+
+
 def test_similar_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((12, 32))
