@@ -21,6 +21,8 @@ from tarnfall.llm.visual import plain_forms, skeleton
 
 #: Window widths by the item's language: a run at least this long counts as a leak.
 WIDTHS = {"en": 50, "zh": 16}
+#: The same for items of any other language, or none.
+OTHER_WIDTH = 50
 #: Most characters of all items together: 12 bytes each in every Python worker.
 MAX_GRAM_CHARS = 20_000_000
 
@@ -45,8 +47,8 @@ class Grams:
 
     def __init__(self, items: list[tuple[int, str, str]], widths: dict[str, int]):
         self.sets = []
-        for width in sorted(set(widths.values())):
-            own = [(i, t) for i, lang, t in items if widths.get(lang) == width]
+        for width in sorted({*widths.values(), OTHER_WIDTH}):
+            own = [(i, t) for i, lang, t in items if widths.get(lang, OTHER_WIDTH) == width]
             codes, starts = reduced([t for _, t in own])
             hashes = Rolling(codes).windows(width)
             item = np.repeat(np.arange(len(own)), np.diff(starts))[: len(hashes)]
@@ -74,8 +76,8 @@ class Grams:
             yield width, at[right], ids[item[there[right]]]
 
 
-def _collect_items(items: DataFrame, widths: dict[str, int], max_gram_chars: int) -> list[tuple[int, str, str]]:
-    wanted = items.filter(F.col("text").isNotNull() & F.col("lang").isin(*widths)).select("item_id", "lang", "text").distinct()
+def _collect_items(items: DataFrame, max_gram_chars: int) -> list[tuple[int, str, str]]:
+    wanted = items.filter(F.col("text").isNotNull()).select("item_id", "lang", "text").distinct()
     size = wanted.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
     if size > max_gram_chars:
         raise ValueError(f"the items hold {size} characters, more than max_gram_chars = {max_gram_chars}; split them")
@@ -85,12 +87,12 @@ def _collect_items(items: DataFrame, widths: dict[str, int], max_gram_chars: int
 def leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", widths: dict[str, int] | None = None, max_gram_chars: int = MAX_GRAM_CHARS) -> DataFrame:
     """``doc_id, item_id``: documents that share a run of letters and digits with an item.
 
-    ``widths`` gives the least run by the items' ``lang``; items of other languages,
-    without text or shorter than a run match nothing. Null and empty documents match
+    ``widths`` gives the least run by the items' ``lang``, ``OTHER_WIDTH`` that of others;
+    items without text or shorter than a run match nothing. Null and empty documents match
     nothing. Repeated rows give one result.
     """
     widths = widths or WIDTHS
-    found = documents.sparkSession.sparkContext.broadcast(_collect_items(items, widths, max_gram_chars))
+    found = documents.sparkSession.sparkContext.broadcast(_collect_items(items, max_gram_chars))
     kind = documents.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def without_leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_
     Texts without a leak stay as they are; null stays null with 0 cut. One row per input row.
     """
     widths = widths or WIDTHS
-    found = documents.sparkSession.sparkContext.broadcast(_collect_items(items, widths, max_gram_chars))
+    found = documents.sparkSession.sparkContext.broadcast(_collect_items(items, max_gram_chars))
     kind = documents.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,20 +25,9 @@ from pyspark.sql.window import Window
 
 from tarnfall.sources.tables import stage
 
-#: The domain of each source, for the upper level of the tree.
-DOMAINS = {
-    "chat_export": "conversation",
-    "forum": "conversation",
-    "companion_diary": "conversation",
-    "meeting_note": "conversation",
-    "kb_wiki": "reference",
-    "manual": "reference",
-    "release_note": "reference",
-    "tool_log": "operation",
-    "drill_report": "operation",
-    "field_radio": "operation",
-}
 SLICE_BITS = 14
+#: Most sources with a target; the tree of sources and languages is solved on the driver.
+MOST_SOURCES = 100_000
 _LONG_TEXT = 200_000
 
 _encodings: dict = {}
@@ -61,15 +50,17 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def _sections(text: str) -> Iterator[str]:
-    """A very long text in parts that end at a line or word, which the tokenizer can take one by one."""
-    at = 0
-    while len(text) - at > _LONG_TEXT:
-        cut = max(text.rfind("\n", at, at + _LONG_TEXT), text.rfind(" ", at, at + _LONG_TEXT))
-        cut = cut if cut > at else at + _LONG_TEXT
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
+def _sections(text: str, pattern: str) -> Iterator[str]:
+    """A very long text in parts, each a row of whole pieces of the tokenizer's own pattern."""
+    import regex
+
+    start = end = 0
+    for piece in regex.finditer(pattern, text):
+        if piece.end() - start > _LONG_TEXT and end > start:
+            yield text[start:end]
+            start = end
+        end = piece.end()
+    yield text[start:]
 
 
 def token_counts(df: DataFrame, id_column: str, text_column: str, keep: list[str], tokenizer: str | None = None) -> DataFrame:
@@ -78,9 +69,10 @@ def token_counts(df: DataFrame, id_column: str, text_column: str, keep: list[str
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encoding = _encoding(path)
+        encode, pattern = encoding.encode_ordinary, encoding._pat_str
         for b in batches:
-            n = [0 if t is None else len(encode(t)) if len(t) <= _LONG_TEXT else sum(len(encode(s)) for s in _sections(t)) for t in b.column(len(keep) + 1).to_pylist()]
+            n = [0 if t is None else len(encode(t)) if len(t) <= _LONG_TEXT else sum(len(encode(s)) for s in _sections(t, pattern)) for t in b.column(len(keep) + 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(len(keep) + 1)), pa.array(n, pa.int64())], names=["id", *keep, "tokens"])
 
     columns = [F.col(id_column).alias("id"), *(F.col(c).cast("string").alias(c) for c in keep), F.col(text_column)]
@@ -162,12 +154,16 @@ class Mix:
     out, it is the largest at which no source that has any tokens falls short, so that
     the shares are met as nearly as they can be. Records without tokens, without a
     source or of sources that aren't targets are never chosen; a null language is a
-    language of its own. Ids should be unique; equal ones are drawn alike.
+    language of its own. ``domains`` gives the domain of each source; without it the tree
+    has only languages and sources. Ids should be unique; equal ones are drawn alike.
     """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", lang_column: str = "lang", total_tokens: int | None = None, tokenizer: str | None = None, domains: dict[str, str] | None = None, seed: int = 42):
-        domains = DOMAINS if domains is None else domains
-        wanted = {r[0]: (float(r[1]), int(r[2])) for r in targets.select("source", "target_share", "max_repeats").distinct().limit(100_000).collect()}
+        rows = targets.select("source", "target_share", "max_repeats").distinct().limit(MOST_SOURCES + 1).collect()  # to refuse more, not to use a part
+        if len(rows) > MOST_SOURCES:
+            raise ValueError(f"more than MOST_SOURCES = {MOST_SOURCES} sources have a target")
+        wanted = {r[0]: (float(r[1]), int(r[2])) for r in rows}
+        above = lambda source: () if domains is None else (domains.get(source, ""),)
         rows = documents.select(id_column, text_column, F.col(source_column).alias("source"), F.coalesce(F.col(lang_column), F.lit("")).alias("lang")).filter(F.col("source").isin(*wanted))
         counted = stage(token_counts(rows, id_column, text_column, ["source", "lang"], tokenizer).filter("tokens > 0"))
         self.records = counted
@@ -175,15 +171,15 @@ class Mix:
         of_source: dict = {}
         for r in sums:
             of_source[r[0]] = of_source.get(r[0], 0) + r[2]
-        leaves = [{"path": (domains.get(r[0], ""), r[1], r[0]), "weight": wanted[r[0]][0] * r[2] / of_source[r[0]], "capacity": r[2] * wanted[r[0]][1], "tokens": r[2]} for r in sorted(sums)]
+        leaves = [{"path": (*above(r[0]), r[1], r[0]), "weight": wanted[r[0]][0] * r[2] / of_source[r[0]], "capacity": r[2] * wanted[r[0]][1], "tokens": r[2]} for r in sorted(sums)]
         for s, (share, _) in wanted.items():
             if s not in of_source:  # its share goes to its siblings
-                leaves.append({"path": (domains.get(s, ""), "", s), "weight": share, "capacity": 0, "tokens": 0})
+                leaves.append({"path": (*above(s), "", s), "weight": share, "capacity": 0, "tokens": 0})
         if total_tokens is None:
             total_tokens = int(min((n * wanted[s][1] / wanted[s][0] for s, n in of_source.items() if wanted[s][0] > 0), default=0))
         self.total_tokens = total_tokens
         budgets(leaves, total_tokens)
-        plan = [(x["path"][2], x["path"][1], int(x["got"] // x["tokens"]), float(x["got"] % x["tokens"])) for x in leaves if x["tokens"]]
+        plan = [(x["path"][-1], x["path"][-2], int(x["got"] // x["tokens"]), float(x["got"] % x["tokens"])) for x in leaves if x["tokens"]]
         spark = documents.sparkSession
         leaf = F.broadcast(spark.createDataFrame(plan, "source string, lang string, passes int, rest double"))
         order = F.xxhash64(F.lit(seed), F.col("passes"), F.col("id"))  # the last epoch's number seeds its order

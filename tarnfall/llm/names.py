@@ -1,12 +1,19 @@
 """Variant spellings of the names of people and organisations.
 
 Names are parsed into a form without titles, remarks, widths, accents and order; equal
-forms are one class. Classes are blocked by token suffixes: a suffix that few classes
-have is a block by itself; in a common one only pairs are left out that can't be
-variants, as no other token of theirs is alike, short for or initial of one of the other
-name: what is found doesn't depend on how common a suffix is. Pairs are compared by the ratio of the longest common subsequence of their tokens, with nicknames,
-initials, abbreviations and acronyms counting as what they stand for. Names that give
-initials only, or no middle name, join a group only if there is exactly one for them.
+forms are one class. Classes are blocked by token suffixes, each refined with the other
+tokens of the name: a suffix is a block only together with a token that matches one of
+the other name, so no suffix is too common, and none is dropped without another key that
+finds the same pairs. Pairs are compared by the ratio of the longest common subsequence
+of their tokens, with short forms, initials, abbreviations and acronyms counting as what
+they stand for. Names that give initials only, or no middle name, join a group only if
+there is exactly one for them.
+
+Which tokens are given names, which are short for which, and which Chinese characters
+get written for which, is learnt from the names themselves (:func:`learn`), over all of
+them: a short form stands beside the family names of its full form far more often than
+beside those of any other, and a mistaken character hardly ever stands where the same name
+isn't also written with the right one.
 """
 
 from __future__ import annotations
@@ -25,8 +32,6 @@ from pyspark.sql import functions as F
 from tarnfall.operators.components import connected_components
 from tarnfall.sources.tables import stage
 
-#: A block of more classes than this is refined.
-COMMON = 40
 #: Shortest suffix in the index.
 SUFFIX = 5
 #: Tokens whose longest common subsequence reaches this part of their mean length are
@@ -34,21 +39,23 @@ SUFFIX = 5
 RATIO, LONG_RATIO = 0.8, 0.85
 #: The same for two names beside an equal family name that no list has.
 LOOSE_RATIO = 0.75
-#: Longer tokens are found by length and not by what is left of them without some letters.
-VARIED = 11
-
-# Given names, each with its usual short forms.
-NICKNAMES = """
-abigail abby gail; alexander alex lex sandy xander alec; barbara barb babs; benjamin ben benny benji; catherine cathy cate kate kathy katie cat;
-christopher chris kit topher; daniel dan danny; dorothea dora thea dot dottie dorothy; edward ed eddie ned; elizabeth liz beth lizzie eliza betty libby lisa;
-frederick fred freddie freddy; gabrielle gabby gaby elle; gregory greg; harriet hattie harri; isabella izzy bella isa; jennifer jen jenny jenn;
-joseph joe joey; josephine josie jo fifi; kenneth ken kenny; lawrence larry laurie lars; leonard leo len lenny; margaret meg maggie peggy greta marge rita daisy;
-matthew matt matty; michael mike mick mickey micky; nathaniel nate nat nathan; nicholas nick nicky nico; oliver ollie olly; patricia pat patty trish tricia;
-philippa pippa pip; rebecca becky becca; richard rick dick richie rich ricky; robert rob bob bobby robbie bert; samuel sam sammy; stephanie steph stephie;
-theodore theo ted teddy; timothy tim timmy; ulrika ulla ulli ulrike rika; victoria vicky tori vic; william will bill billy liam willy; zachary zach zack zac;
-andrew andy drew; anthony tony; charles charlie chuck; david dave davy; james jim jimmy jamie; john jack johnny; thomas tom tommy; susan sue susie; katherine kate kathy;
-george georgie; henry harry hank; peter pete; steven steve; deborah deb debbie; jacqueline jackie; pamela pam; sandra sandy; veronica ronnie; walter walt
-"""
+#: Chinese names of so many characters may differ in one.
+HAN_LONG = 7
+#: Tokens are compared if they are equal without this many letters of each at most: two typing errors.
+LETTERS = 2
+#: Tokens of more letters are compared if they begin or end alike.
+LONG, ENDS = 30, 10
+
+#: A token is a short form of another if it shares at least so many family names with it,
+#: so large a part of its own, and so many times as many as with the next one.
+SHORT_SHARED, SHORT_PART, SHORT_LEAD = 4, 0.4, 2
+#: Tokens in this part of all names of people, and in so many at least, are given names.
+GIVEN_PART, GIVEN_LEAST = 0.005, 5
+#: A character is another one's spelling if so large a part of the names with it, and so many, exist with the other, too.
+CHARACTER_PART, CHARACTER_LEAST = 0.8, 2
+#: Most entries of what is learnt, about 50 bytes each in every Python worker; more are refused.
+MOST_LEARNT = 500_000
+
 # Words before, after or beside a name that don't belong to it.
 TITLES = "dr prof professor doctor mr mrs ms miss sir dame eng ing dipl phd md jr sr esq hon rev"
 # Chinese titles behind a name.
@@ -60,15 +67,6 @@ laboratories laboratory labs lab; group grp; incorporated inc; foundation fdn; u
 """
 HAN_LEGAL = "股份有限公司 有限责任公司 有限公司 研究院 研究所 公司 集团 协会 大学 院 所"
 SMALL_WORDS = "the of and for & de la le und et der die das"
-# Characters of one sound (without tone), as they get mixed up in names.
-SOUNDS = """
-攸优悠幽友由游尤; 霁计季纪继稷绩寂吉; 暄宣轩萱喧; 琮从丛聪; 弈亦艺逸易义翼奕; 栩许旭序叙徐; 苒染冉然; 芮锐瑞睿; 霏飞非妃菲斐; 纾书舒叔淑; 聿域玉御育煜郁钰宇裕遇豫毓;
-澄成诚程城承铖丞; 皓号浩昊灏; 岚兰蓝澜览; 晏宴艳彦雁燕砚焰; 泽择则责; 霖邻林琳临麟淋; 逖替题体迪涕; 舸葛格歌鸽哥阁; 铎夺多朵铎; 旻敏民岷珉; 锴楷凯恺慨; 荻迪笛狄敌涤; 沅元园原源远媛圆渊;
-翎凌铃玲灵零龄陵岭令; 颂宋松送诵; 珩衡恒横; 骁晓霄潇萧肖宵; 黛代带岱戴; 蔚卫魏未伟维薇微; 谧密蜜秘; 箴真珍贞臻针; 麒其奇棋琪祺旗齐; 汐西希夕熙曦溪昔; 钧军君俊均; 洵寻旬询循浔; 桐同童彤铜; 阙却确雀鹊;
-屿雨羽语与宇; 影颖映; 野叶冶也业; 箐清青晴菁精京景婧静靖; 筠云韵匀芸; 昱煜郁; 涵晗寒; 梓紫子; 辰晨尘臣; 佳嘉家; 怡宜仪; 婷亭庭; 诺糯; 茗名明鸣铭; 思斯丝; 若偌; 彬斌宾; 川传船穿; 回汇惠慧; 原源缘; 罗萝洛落; 首手守; 尾委伟; 芜吴无五武; 棠堂唐糖塘; 徵征正政; 芷止志知
-"""
-
-
 def _table(text: str) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     for group in text.replace("\n", " ").split(";"):
@@ -78,13 +76,8 @@ def _table(text: str) -> dict[str, list[str]]:
     return out
 
 
-_GIVEN = _table(NICKNAMES)
 _LEGAL = {w: forms[0] for w, forms in _table(LEGAL).items()}
 _TITLES, _SMALL = set(TITLES.split()), set(SMALL_WORDS.split())
-_SOUND: dict[str, set[int]] = {}
-for _n, _group in enumerate(SOUNDS.replace("\n", " ").split(";")):
-    for _c in _group.strip():
-        _SOUND.setdefault(_c, set()).add(_n)
 _HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 _HAN_TITLE = re.compile("(?:" + "|".join(HAN_TITLES.split()) + ")$")
 _HAN_LEGAL = re.compile("(?:" + "|".join(HAN_LEGAL.split()) + ")$")
@@ -121,16 +114,44 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFC", text).casefold()
 
 
+class Spellings:
+    """What was learnt: given names with the full names they may stand for, and characters with the one they are written for."""
+
+    def __init__(self, given: dict[str, str], characters: dict[str, str]):
+        self.given, self.characters = given, characters
+        self._near: dict = {}
+        for w in given:
+            for end in (f"<{w[0]}", f">{w[-1]}"):
+                self._near.setdefault((len(w), end), []).append(w)
+
+    def full(self, token: str) -> frozenset[str]:
+        if token in self.given:
+            return frozenset([self.given[token]])
+        if len(token) < 3:
+            return frozenset()
+        near = {w for n in (-1, 0, 1) for end in (f"<{token[0]}", f">{token[-1]}") for w in self._near.get((len(token) + n, end), ()) if len(w) > 3 or len(token) > 3}
+        best = max(((lcs_ratio(token, w), w) for w in near), default=(0, ""))
+        return frozenset([self.given[best[1]]]) if best[0] >= (RATIO if len(token) > 5 else LOOSE_RATIO) else frozenset()
+
+    def plain(self, text: str) -> str:
+        return "".join(self.characters.get(c, c) for c in text)
+
+
+_spellings = Spellings({}, {})
+
+
+def use(spellings: Spellings) -> None:
+    """What the functions of this module go by from now on, in this process."""
+    global _spellings
+    if spellings is not _spellings:
+        _spellings = spellings
+        given_names.cache_clear()
+
+
 @lru_cache(maxsize=200_000)
 def given_names(token: str) -> frozenset[str]:
     """The full given names that a token may stand for, typing errors included; else none."""
-    if token in _GIVEN:
-        return frozenset(_GIVEN[token])
-    if len(token) < 3:
-        return frozenset()
-    near = [(lcs_ratio(token, w), w) for w in _GIVEN if abs(len(w) - len(token)) <= 1 and (len(w) > 3 or len(token) > 3)]
-    best = max(near, default=(0, ""))
-    return frozenset(_GIVEN[best[1]]) if best[0] >= (RATIO if len(token) > 5 else 0.75) else frozenset()
+    return _spellings.full(token)
 
 
 def parse(name: str, entity_type: str | None) -> tuple[str, list[str]]:
@@ -166,53 +187,51 @@ def _families(tokens: list[str]) -> list[str]:
     return [max(long, key=len)] if long else [t for t in tokens if len(t) > 1]
 
 
-def _refs(kind: str, tokens: list[str], at: int, legal: set[str]) -> set[str]:
-    """What a pair with a common suffix of token ``at`` shares besides, if it is to be a variant.
+def _refs(kind: str, tokens: list[str], at: int, legal: set[str]) -> set[tuple[str, str, str]]:
+    """(tag, value, beside): what a pair with a common suffix of token ``at`` shares besides, if it is to be a variant.
 
     Such a pair has two matches of tokens, or one and an acronym, and at most one of them
-    is of the two tokens with the suffix. A letter tells how a reference is compared:
+    is of the two tokens with the suffix. A tag tells how a value is compared:
     S, O: token ``at`` or another, alike an O; R: alike an R, loosely; G: equal;
-    i, f: initial or full, an i with both; A, L: acronym and long form.
+    i, f: initial or full, an i with both; A, L: acronym and long form. ``beside`` is a
+    token that has to be alike, too.
     """
     t, others = tokens[at], tokens[:at] + tokens[at + 1 :]
     if kind == "o":
-        out = {"S" + kind + t} | {"O" + kind + x for x in others}
+        out = {("S", kind + t, "")} | {("O", kind + x, beside) for x in others for beside in ("", kind + t)}
         if len(others) == 1 and len(others[0]) <= 4:
-            out.add("A" + "".join(sorted(others[0])))
+            out.add(("A", "".join(sorted(others[0])), kind + t))
         letters = [x[0] for x in others]
-        return out | {"L" + "".join(sorted([*letters, *g])) for g in ("", *(x[0] for x in legal))}
+        return out | {("L", "".join(sorted([*letters, *g])), kind + t) for g in ("", *(x[0] for x in legal))}
     families = _families(tokens)
-    out = {"O" + kind + x for x in others if x in families}
+    out = {("O", kind + x, "") for x in others if x in families}
     if t in families:  # the match may be of the family names, then one of the rest is needed
-        out.add("S" + kind + t)
+        out.add(("S", kind + t, ""))
         for x in others:
             given = given_names(x)
-            out |= {"G" + g for g in given}
-            out |= {"i" + x} if len(x) == 1 else {"f" + c for c in {x[0], *(g[0] for g in given)}}
+            out |= {("G", g, kind + t) for g in given}
+            out |= {("i", x, kind + t)} if len(x) == 1 else {("f", c, kind + t) for c in {x[0], *(g[0] for g in given)}}
             if len(x) > 1 and not given:
-                out.add("R" + kind + x)
+                out.add(("R", kind + x, kind + t))
     return out
 
 
-def _keys(kind: str, tokens: list[str]) -> list[list[str]]:
-    """Of each long token: [suffix, references...] (see ``_refs``); a suffix alone is a block however common."""
-    if kind == "P":
-        t = tokens[0]
-        cut = 2 if len(t) >= 4 else 1
-        fam, given = t[:cut], t[cut:]
-        return [[f"P{fam}{k}{c}"] for k, c in enumerate(given)] + [[f"P{given}"]]
-    if kind == "O":
+def _keys(kind: str, tokens: list[str]) -> list[tuple[str, str, str, str]]:
+    """(suffix, tag, value, beside) of each long token, see :func:`_refs`; a name of one token is its own reference."""
+    if kind in "PO":
         t = tokens[0]
-        return [[f"O{t[:2]}{t[4:]}"], [f"O<{t[2:4]}{t[4:]}"], [f"O={t[:4]}"]]
+        half = len(t) // 2
+        # one character in seven may be another: it leaves the first half or the last
+        return [(k, tag, kind + t, "") for k in (kind + "<" + t[:half], kind + t[half:]) for tag in "SO"] if len(t) >= HAN_LONG else []
     out = []
     content = [t for t in tokens if t not in _LEGAL] if kind == "o" else tokens
     legal = {t for t in tokens if t in _LEGAL} if kind == "o" else set()
     for at, t in enumerate(content):
         names = given_names(t) if kind == "p" else ()  # a short form is indexed as the name, too
-        refs = sorted(_refs(kind, content, at, legal)) if len(content) > 1 else []
+        refs = _refs(kind, content, at, legal) if len(content) > 1 else {("S", kind + t, ""), ("O", kind + t, "")}
         for word in {t, *names} if len(t) >= SUFFIX - 1 else names:
-            out.append([kind + word[-SUFFIX:], *refs])
-    return out or [[kind + " ".join(tokens)]]
+            out += [(kind + word[-SUFFIX:], *r) for r in sorted(refs)]
+    return out
 
 
 def _abbreviates(a: str, b: str) -> bool:
@@ -293,48 +312,127 @@ def _same_person(a: list[str], b: list[str]) -> int:
     return MIDDLE if left else YES
 
 
-def _same_han(kind: str, a: str, b: str) -> bool:
-    if len(a) != len(b) or len(a) < 2:
-        return False
-    apart = [k for k, (x, y) in enumerate(zip(a, b)) if x != y]
-    if len(apart) != 1:
-        return not apart
-    sound = bool(_SOUND.get(a[apart[0]], set()) & _SOUND.get(b[apart[0]], set()))
-    return sound if kind == "P" else sound or apart[0] < len(a) - 2
-
-
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, types, forms, kinds, keys = [], [], [], [], []
+        ids, types, forms = [], [], []
         for i, t, name, normalized in zip(*(b.column(k).to_pylist() for k in range(4))):
             text = name if name and name.strip() else normalized or ""
             kind, tokens = parse(text, t)
             if tokens:
                 ids.append(i)
                 types.append(t if t in ("person", "organization") else None)
-                kinds.append(kind)
                 forms.append(kind + " " + " ".join(tokens))
-                keys.append(_keys(kind, tokens))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(types, pa.string()), pa.array(forms, pa.string()), pa.array(keys, pa.list_(pa.list_(pa.string())))], names=["id", "type", "form", "keys"])
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        verdicts, lacks = [], ([], [])
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            kind, a, b = x[0], x[2:].split(" "), y[2:].split(" ")
-            if kind != y[0]:
-                verdict = NO
-            elif kind == "p":
-                verdict = _same_person(a, b)
-            elif kind == "o":
-                verdict = YES if _same_organisation(a, b) else NO
-            else:
-                verdict = YES if _same_han(kind, a[0], b[0]) else NO
-            verdicts.append(verdict)
-            for lack, own, other in ((lacks[0], a, b), (lacks[1], b, a)):
-                lack.append(_vague(own) if verdict >= INITIAL else len(own) < len(other))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.int32()), *(pa.array(x, pa.bool_()) for x in lacks)], names=["a", "b", "verdict", "lack_a", "lack_b"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(types, pa.string()), pa.array(forms, pa.string())], names=["id", "type", "written"])
+
+
+def _short_forms(forms: DataFrame) -> DataFrame:
+    """``a, b``: tokens of people's names, and the given name that each is or is short for.
+
+    Tokens that stand together in a name are linked, the one with more partners as given
+    name to the one with fewer as family name; so a hub never meets its own links.
+    """
+    tokens = F.filter(F.split(F.substring("written", 3, 1 << 30), " "), lambda t: F.char_length(t) > 1)
+    names = forms.filter("written like 'p %'").select(F.array_distinct(tokens).alias("t")).filter("size(t) > 1")
+    total = names.agg(F.count(F.lit(1)).alias("total"))
+    both = names.select(F.explode("t").alias("a"), "t").select("a", F.explode("t").alias("b")).filter("a <> b").distinct()
+    links = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    linked = both.join(links, "a").join(links.select(F.col("a").alias("b"), F.col("n").alias("m")), "b").filter("n > m or (n = m and a > b)")
+    own = linked.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHORT_SHARED)
+    kept = stage(linked.select("a", "b").join(own, "a"))
+    other = kept.select(F.col("a").alias("c"), "b", F.col("n").alias("m"))
+    shared = kept.join(other, "b").filter("a <> c").groupBy("a", "c", "n", "m").agg(F.count(F.lit(1)).alias("s"))
+    shared = shared.join(both.select("a", F.col("b").alias("c")), ["a", "c"], "left_anti")  # a full name doesn't stand beside its short form
+    ranked = shared.groupBy("a", "n").agg(F.max(F.struct("s", F.col("m"), "c")).alias("x"), F.sort_array(F.collect_list(F.when(F.col("s") * (SHORT_LEAD / SHORT_PART) >= F.col("n"), F.col("s"))), asc=False).alias("all"))
+    leads = (F.size("all") < 2) | (F.col("x.s") >= SHORT_LEAD * F.col("all")[1])
+    short = ranked.filter((F.col("x.s") >= SHORT_SHARED) & (F.col("x.s") >= SHORT_PART * F.col("n")) & (F.col("x.m") > F.col("n")) & leads).select("a", F.col("x.c").alias("b"))
+    often = names.select(F.explode("t").alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))  # one row
+    often = often.filter((F.col("n") >= GIVEN_LEAST) & (F.col("n") >= GIVEN_PART * F.col("total"))).select("a", F.col("a").alias("b"))
+    return short.unionByName(often)
+
+
+def _characters(forms: DataFrame) -> DataFrame:
+    """``a, b``: Chinese characters that are written for others: the names with the one exist with the other, too."""
+    names = forms.filter("written like 'P %' or written like 'O %'").select("written", F.explode(F.sequence(F.lit(3), F.char_length("written"))).alias("k"))
+    at = names.select(F.concat(F.expr("left(written, k - 1)"), F.lit("*"), F.expr("substring(written, k + 1)")).alias("rest"), F.expr("substring(written, k, 1)").alias("a")).distinct()
+    n = at.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CHARACTER_LEAST)
+    at = stage(at.join(n, "a"))
+    pairs = at.join(at.select("rest", F.col("a").alias("b"), F.col("n").alias("m")), "rest").filter("m > n").groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("s"))
+    best = pairs.groupBy("a", "n").agg(F.max(F.struct("s", "m", "b")).alias("x"))
+    return best.filter((F.col("x.s") >= CHARACTER_LEAST) & (F.col("x.s") >= CHARACTER_PART * F.col("n"))).select("a", F.col("x.b").alias("b"))
+
+
+def _small(pairs: DataFrame) -> dict[str, str]:
+    rows = pairs.limit(MOST_LEARNT + 1).collect()  # to refuse more, not to use a part
+    if len(rows) > MOST_LEARNT:
+        raise ValueError(f"more than MOST_LEARNT = {MOST_LEARNT} spellings were learnt")
+    return {r[0]: r[1] for r in rows}
+
+
+def _resolved(to: dict[str, str]) -> dict[str, str]:
+    """Each key with the end of its chain; a chain that runs in a circle ends at its smallest member."""
+    out = {}
+    for a in to:
+        seen = [a]
+        while (b := to.get(seen[-1])) and b not in seen:
+            seen.append(b)
+        out[a] = min(seen[seen.index(b) :]) if b else seen[-1]
+    return out
+
+
+def learn(forms: DataFrame) -> Spellings:
+    """Short forms, given names and mistaken characters of all forms (column ``written``)."""
+    pairs = _short_forms(forms)
+    short = _resolved(_small(pairs.filter("a <> b")))
+    given = {a: a for a in _small(pairs.filter("a = b").select("a", F.lit("").alias("b")))} | {b: b for b in short.values()} | short
+    return Spellings(given, _resolved(_small(_characters(forms))))
+
+
+_KEYED = "written string, form string, keys array<struct<key:string,tag:string,value:string,beside:string>>"
+
+
+def _keyed(spellings):
+    """Distinct written forms with the form that they are compared in and its keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt = spellings.value
+        use(learnt)
+        for b in batches:
+            forms, keys = [], []
+            for written in b.column(0).to_pylist():
+                kind, text = written[0], written[2:]
+                text = learnt.plain(text) if kind in "PO" else text
+                forms.append(kind + " " + text)
+                keys.append([dict(zip(("key", "tag", "value", "beside"), k)) for k in _keys(kind, text.split(" "))])
+            kind = pa.list_(pa.struct([(c, pa.string()) for c in ("key", "tag", "value", "beside")]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms, pa.string()), pa.array(keys, kind)], names=["written", "form", "keys"])
+
+    return run
+
+
+def _compared(spellings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use(spellings.value)
+        yield from map(_verdicts, batches)
+
+    return run
+
+
+def _verdicts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    verdicts, lacks = [], ([], [])
+    for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        kind, a, b = x[0], x[2:].split(" "), y[2:].split(" ")
+        if kind != y[0]:
+            verdict = NO
+        elif kind == "p":
+            verdict = _same_person(a, b)
+        elif kind == "o":
+            verdict = YES if _same_organisation(a, b) else NO
+        else:
+            verdict = YES if lcs_ratio(a[0], b[0]) >= LONG_RATIO else NO
+        verdicts.append(verdict)
+        for lack, own, other in ((lacks[0], a, b), (lacks[1], b, a)):
+            lack.append(_vague(own) if verdict >= INITIAL else len(own) < len(other))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.int32()), *(pa.array(x, pa.bool_()) for x in lacks)], names=["a", "b", "verdict", "lack_a", "lack_b"])
 
 
 def _most_left_out(n: int, ratio: float) -> int:
@@ -346,11 +444,9 @@ def _token_keys(token: str, loose: bool) -> list[tuple[str, int]]:
     """Keys of a token after its kind; tokens that are alike or abbreviations meet in one, 0 with 0 or 1 with 2."""
     kind, t = token[0], token[1:]
     n, ratio = len(t), LOOSE_RATIO if loose else RATIO if len(t) <= 6 else LONG_RATIO
-    out = [(f"{kind}#{n}", 2)]
-    if n > VARIED:
-        out += [(f"{kind}#{m}", 1) for m in range(ceil(ratio * n / (2 - ratio) - 1e-9), int((2 - ratio) * n / ratio + 1e-9) + 1)]
-    else:
-        out += [(kind + v, 0) for d in range(_most_left_out(n, ratio) + 1) for v in set(map("".join, combinations(t, n - d)))]
+    if n > LONG:
+        return [(f"{kind}<{t[:ENDS]}", 0), (f"{kind}>{t[-ENDS:]}", 0)]
+    out = [(kind + v, 0) for d in range(min(LETTERS, _most_left_out(n, ratio)) + 1) for v in set(map("".join, combinations(t, n - d)))]
     if kind == "o" and n >= 3:
         out += [(f"o<{t}", 1), *((f"o<{t[:k]}", 2) for k in range(3, n))]
     return out
@@ -374,37 +470,40 @@ def _token_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _near_tokens(tokens: DataFrame) -> DataFrame:
-    """``value, to``: of ``token, loose``, the references O and R of one that those of another match."""
+    """``value, to, close, near``: of ``token, loose``, those that are alike, closely or, at least, loosely."""
     rows = stage(tokens.mapInArrow(_token_rows, "key string, token string, loose boolean, side int"))
     a = rows.filter("side < 2").select("key", F.col("token").alias("a"))
     b = rows.filter("side <> 1").select("key", F.col("token").alias("b"))
     met = a.join(b, "key").filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     found = stage(met.mapInArrow(_token_matches, "x string, y string, close boolean, near boolean").filter("close or near"))
     both = found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"), "close", "near"))
-    of = lambda tag, kept: both.filter(kept).select(F.concat(F.lit(tag), "x").alias("value"), F.concat(F.lit(tag), "y").alias("to"))
-    return of("O", "close").unionByName(of("R", "near"))
+    return both.withColumnsRenamed({"x": "value", "y": "to"})
 
 
 def blocked_pairs(forms: DataFrame) -> DataFrame:
-    """``a < b``: forms that share a block; ``forms`` has ``form, keys``.
+    """``a < b``: forms with a common suffix of which a reference of one matches one of the other.
 
-    A suffix of at most ``COMMON`` forms is a block. Of a more common one, the pairs are
-    those that can be variants: a reference of one matches one of the other.
+    ``forms`` has ``form, keys``. A block is a suffix with a reference, and with a token
+    that is alike where the reference says nothing by itself. Organisations agree in all
+    words but an acronym, so on one side the rarest word is among those that match: blocks
+    of common words, which rarer ones cover, aren't made.
     """
-    chains = forms.select("form", F.explode("keys").alias("chain")).select("form", F.col("chain")[0].alias("key"), F.expr("slice(chain, 2, size(chain))").alias("refs"))
-    common = F.broadcast(chains.groupBy("key").agg(F.count_distinct("form").alias("c")).filter(F.col("c") > COMMON).select("key", F.lit(True).alias("common")))
-    chains = stage(chains.join(common, "key", "left"))
-    used = chains.filter("common is null or size(refs) = 0").select("form", "key").distinct()
-    rare = used.withColumnRenamed("form", "a").join(used.withColumnRenamed("form", "b"), "key").filter("a < b").select("a", "b")
-    refs = stage(chains.filter("common").select("form", "key", F.explode("refs").alias("ref")).distinct())
-    tag, rest = F.substring("ref", 1, 1), F.expr("substring(ref, 2)")
-    tokens = refs.filter(tag.isin("S", "O", "R")).groupBy(rest.alias("token")).agg(F.max(tag == "R").alias("loose"))
-    left = refs.filter(~tag.isin("S", "f", "L")).select("key", F.col("form").alias("a"), F.col("ref").alias("value"))
-    left = left.unionByName(left.join(_near_tokens(tokens), "value").select("key", "a", F.col("to").alias("value")))
-    other = F.when(tag == "S", F.concat(F.lit("O"), rest)).when(tag == "f", F.concat(F.lit("i"), rest)).when(tag == "L", F.concat(F.lit("A"), rest)).when(tag != "A", F.col("ref"))
-    right = refs.select("key", F.col("form").alias("b"), other.alias("value")).filter("value is not null")
-    met = left.join(right, ["key", "value"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return rare.unionByName(met).distinct()
+    refs = stage(forms.select("form", F.inline("keys")).distinct())
+    tag = F.col("tag")
+    tokens = refs.filter(tag.isin("S", "O", "R")).groupBy(F.col("value").alias("token")).agg(F.max(tag == "R").alias("loose"))
+    near = stage(_near_tokens(tokens))
+    close = near.filter("close").select("value", "to")
+    word = refs.filter(tag.isin("S", "O") & F.startswith("value", F.lit("o"))).select("form", "value").distinct()
+    rarest = word.join(word.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value").groupBy("form").agg(F.min(F.struct("n", "value"))["value"].alias("rarest"))
+    left = refs.filter(~tag.isin("S", "f", "L")).withColumnRenamed("form", "a")
+    more = left.filter(tag.isin("O", "R")).join(near, "value").filter((tag == "O") & F.col("close") | (tag == "R") & F.col("near"))
+    left = left.unionByName(more.select("a", "key", "tag", F.col("to").alias("value"), "beside"))
+    left = left.unionByName(left.filter("beside <> ''").join(close.toDF("beside", "other"), "beside").select("a", "key", "tag", "value", F.col("other").alias("beside")))
+    right = refs.filter("tag <> 'A'").withColumnRenamed("form", "b").join(rarest.withColumnRenamed("form", "b"), "b", "left")
+    right = right.filter(~tag.isin("S", "O") | F.col("rarest").isNull() | (F.col("value") == F.col("rarest")) | (F.col("beside") == F.col("rarest")))
+    meets = F.when(tag == "S", "O").when(tag == "f", "i").when(tag == "L", "A").otherwise(tag)
+    met = left.join(right.select("b", "key", meets.alias("tag"), "value", "beside"), ["key", "tag", "value", "beside"]).filter("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _only_choice(links: DataFrame, sure: DataFrame) -> DataFrame:
@@ -423,18 +522,23 @@ def _only_choice(links: DataFrame, sure: DataFrame) -> DataFrame:
     return choice.filter("c1 = 1 or (c1 = 0 and c2 = 1)").select(F.col("ga").alias("a"), F.coalesce("g1", "g2").alias("b"))
 
 
-def name_groups(df: DataFrame, id_column: str = "id", type_column: str = "entity_type_id", name_column: str = "name", normalized_column: str = "normalized_name") -> DataFrame:
+def name_groups(df: DataFrame, id_column: str = "id", type_column: str = "entity_type_id", name_column: str = "name", normalized_column: str = "normalized_name", spellings: Spellings | None = None) -> DataFrame:
     """``id, type, form, group``: every person or organisation with the group of its name.
 
     Rows of other types are left out, as are names without letters (null, empty,
     punctuation) and null ids. ``type`` is null where it was ``other`` or null. Repeated
-    rows count once; an id with several names is in several groups.
+    rows count once; an id with several names is in several groups. ``spellings`` are
+    learnt from the rows if not given.
     """
     t = F.col(type_column)
     rows = df.filter((t.isNull() | t.isin("person", "organization", "other")) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("string").alias("id"), t.alias("t"), F.col(name_column).alias("n"), F.col(normalized_column).alias("m"))
-    parsed = stage(rows.mapInArrow(_parsed, "id string, type string, form string, keys array<array<string>>"))
-    forms = parsed.groupBy("form").agg(F.first("keys").alias("keys"))
-    verdicts = stage(blocked_pairs(forms).mapInArrow(_compared, "a string, b string, verdict int, lack_a boolean, lack_b boolean").filter("verdict > 0"))
+    parsed = stage(rows.mapInArrow(_parsed, "id string, type string, written string"))
+    written = parsed.select("written").distinct()
+    spellings = rows.sparkSession.sparkContext.broadcast(learn(written) if spellings is None else spellings)
+    keyed = stage(written.mapInArrow(_keyed(spellings), _KEYED))
+    forms = keyed.groupBy("form").agg(F.first("keys").alias("keys"))
+    parsed = parsed.join(keyed.select("written", "form"), "written").select("id", "type", "form")
+    verdicts = stage(blocked_pairs(forms).mapInArrow(_compared(spellings), "a string, b string, verdict int, lack_a boolean, lack_b boolean").filter("verdict > 0"))
     sure = verdicts.filter("verdict = 1").select("a", "b")
     named = stage(sure.unionByName(_only_choice(verdicts.filter(F.col("verdict") == MIDDLE), sure)))
     initial = _only_choice(verdicts.filter(F.col("verdict") >= INITIAL), named)

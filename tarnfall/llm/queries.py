@@ -86,16 +86,23 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder).shares()
 
 
+def _digests(spark: SparkSession, folder: str) -> DataFrame:
+    return visual.form_digests(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return visual.visual_classes(_digests(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    digests = visual.form_digests(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
-    return visual.visual_twins(digests).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+    return visual.visual_twins(_digests(spark, folder)).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
 def p10_texts(spark: SparkSession, folder: str) -> DataFrame:
     return visual.normalized_texts(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_neighbours, p5_found, p5_groups, p6_found, p6_pieces, p8_found, p8_items, p8_clean, p9_mix, p9_shares, p10_found, p10_texts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_neighbours, p5_found, p5_groups, p6_found, p6_pieces, p8_found, p8_items, p8_clean, p9_mix, p9_shares, p10_classes, p10_found, p10_texts)}
 
 _NEIGHBOURS = """
 WITH latest AS (SELECT model, content_hash AS hash, max({'t': ts, 'd': dim, 'v': embedding}) AS x FROM query_embedding_cache GROUP BY model, content_hash),

@@ -1,12 +1,15 @@
 """The k most similar vectors of every vector: inverted lists with an adaptive dimension scan.
 
-Vectors fall into lists around centroids, which are fitted per model on a bounded sample;
-every vector is in a list. A query looks into the ``probes`` lists nearest to it. Inside
-a list all vectors are rotated by one random rotation and held in blocks of columns: the
-distance over the first block, times dimensions over block, estimates the whole distance,
-and a hypothesis test against the query's present k-th best abandons most candidates
-there; the others get the next block, and so on. What survives is compared exactly, in
-double precision on the stored values.
+Vectors fall into about as many lists as the square root of their number, around
+centroids that are fitted per model in two levels: a few on one bounded sample, then those
+of each cell of these on the sample's rows in it, each cell in a task of its own. Every
+vector is in a list. A query looks into the ``probes`` lists nearest to it, the nearest
+first, and each step tightens the bound for the next. Inside a list all vectors are
+rotated by one random rotation and held in blocks of columns: the distance over the first
+block, times dimensions over block, estimates the whole distance, and a hypothesis test
+against the query's present k-th best abandons most candidates there; the others get the
+next block, and so on, as a matrix while many are left and one by one then. What survives
+is compared exactly, in double precision on the stored values.
 
 Lists are packed into shards of about ``SHARD`` vectors, by estimated sizes, and a list
 that is larger by itself is dealt over several shards, so a dense region that holds a
@@ -28,15 +31,16 @@ from pyspark.sql.window import Window
 
 from tarnfall.sources.tables import stage
 
-#: Rows of one model on which the centroids are fitted; more rows are sampled by hash.
-SAMPLE = 20_000
-MOST_LISTS = 1024
+#: Rows of one model on which the upper centroids are fitted, and rows a list in the sample for the lower ones.
+SAMPLE, ROWS_A_LIST = 20_000, 100
 PROBES = 32
 SHARD = 20_000
 QUERIES = 20_000
 BLOCK = 16
+#: Part of the candidates up to which the next block is taken one by one.
+FEW = 0.08
 #: Width of the test: a candidate goes if its estimate exceeds the bound by 1 + EPSILON / sqrt(dimensions seen).
-EPSILON = 2.1
+EPSILON = 2.4
 
 
 def usable_vectors(df: DataFrame, hash_column: str = "content_hash", model_column: str = "model", vector_column: str = "embedding", dim_column: str = "dim", time_column: str = "ts") -> DataFrame:
@@ -84,11 +88,11 @@ def rotation(dim: int) -> np.ndarray:
 class _Model:
     """Centroids of one model, and which shards and query slices its lists are in."""
 
-    def __init__(self, number: int, centroids: np.ndarray, sample: np.ndarray, rows: int, probes: int):
+    def __init__(self, first: int, centroids: np.ndarray, counts: np.ndarray, sample: np.ndarray, rows: int, probes: int):
         self.centroids, self.probes = centroids.astype(np.float32), min(probes, len(centroids))
         near = self.nearest(sample)
         scale = rows / len(sample)
-        sizes = np.bincount(near[:, 0], minlength=len(centroids)) * scale
+        sizes = counts * (rows / counts.sum())
         axis = np.linalg.svd(centroids - centroids.mean(0), full_matrices=False)[2][0]
         shard, used, self.parts = 0, 0.0, {}
         for k in np.argsort(centroids @ axis, kind="stable").tolist():  # lists that lie together share a shard
@@ -98,7 +102,6 @@ class _Model:
             self.parts[k] = list(range(shard, shard + pieces))
             shard, used = shard + pieces - 1, used + sizes[k] if pieces == 1 else SHARD
         self.shards = shard + 1
-        self.first = number << 32
         self.reach = np.zeros((len(centroids), self.shards), dtype=bool)  # list by shard
         for k, own in self.parts.items():
             self.reach[k, own] = True
@@ -106,6 +109,7 @@ class _Model:
         for row in near:
             wanted += self.reach[row].any(0)
         self.slices = np.maximum(1, np.ceil(wanted * scale / QUERIES)).astype(int)
+        self.first = first + np.concatenate([[0], np.cumsum(self.slices)])  # the number of each shard's first part
 
     def nearest(self, units: np.ndarray) -> np.ndarray:
         close = units.astype(np.float32) @ self.centroids.T
@@ -115,7 +119,7 @@ class _Model:
         return np.take_along_axis(some, np.argsort(-np.take_along_axis(close, some, 1), axis=1, kind="stable"), 1)
 
     def part(self, shard: int, slice_: int) -> int:
-        return self.first | shard << 12 | slice_
+        return int(self.first[shard]) + slice_
 
 
 def _vectors(column) -> np.ndarray:
@@ -180,10 +184,9 @@ class Shard:
         kth = np.full(n, -1.0)
         own = np.array(hashes, dtype=object)
         here = np.isin(near, list(self.span))
-        first = here.argmax(1)
-        one = np.zeros_like(here)
-        one[np.arange(n), first] = here[np.arange(n), first]
-        for mask in (one, here & ~one):  # the nearest list first: it sets good bounds for the others
+        place = np.where(here, here.cumsum(1), 0)  # 1 for the nearest list that is here
+        steps = [(1, 1), (2, 4), (5, 16), (17, here.shape[1])]
+        for mask in [(place >= a) & (place <= b) for a, b in steps if a <= here.shape[1]]:  # near lists set good bounds for the others
             rows, columns = np.nonzero(mask)
             lists = near[rows, columns]
             order = np.argsort(lists, kind="stable")
@@ -197,9 +200,9 @@ class Shard:
             best = tuple(x[keep] for x in best)
             order = np.lexsort((self.rank[best[1]], -best[2], best[0]))
             best = tuple(x[order] for x in best)
-            place = np.arange(len(best[0])) - np.searchsorted(best[0], best[0], "left")
-            best = tuple(x[place < k] for x in best)
-            last = place[place < k] == k - 1
+            nth = np.arange(len(best[0])) - np.searchsorted(best[0], best[0], "left")
+            best = tuple(x[nth < k] for x in best)
+            last = nth[nth < k] == k - 1
             kth[best[0][last]] = best[2][last]
         return best
 
@@ -210,11 +213,18 @@ class Shard:
         def limit(seen: int) -> np.ndarray:
             return bound * (seen / dim * (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < dim else 1) + 1e-5
 
-        a, b = mine[:, :BLOCK], data[:, :BLOCK]
-        partial = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-        qi, xi = np.nonzero(partial <= limit(min(BLOCK, dim))[:, None])
+        seen, partial = 0, np.zeros((len(q), hi - lo), dtype=np.float32)
+        while seen < dim:
+            a, b = mine[:, seen : seen + BLOCK], data[:, seen : seen + BLOCK]
+            partial += (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+            seen = min(seen + BLOCK, dim)
+            left = partial <= limit(seen)[:, None]
+            if left.mean() <= FEW:
+                break
+            partial[~left] = np.inf
+        qi, xi = np.nonzero(left)
         partial = partial[qi, xi]
-        for seen in range(BLOCK, dim, BLOCK):
+        for seen in range(seen, dim, BLOCK):
             gap = mine[qi, seen : seen + BLOCK] - data[xi, seen : seen + BLOCK]
             partial = partial + np.einsum("ij,ij->i", gap, gap)
             keep = partial <= limit(min(seen + BLOCK, dim))[qi]
@@ -277,18 +287,47 @@ def most_similar(vectors: DataFrame, k: int = 5, probes: int = PROBES) -> DataFr
     if not counts:
         return spark.createDataFrame([], "model string, hash string, other string, similarity double, place int")
     size = F.broadcast(spark.createDataFrame(list(counts.items()), "key string, n long"))
-    sample = keyed.join(size, "key").filter(F.pmod(F.xxhash64("hash"), F.col("n")) < SAMPLE)
+    place = F.pmod(F.xxhash64("hash"), F.col("n"))
+    sample = stage(keyed.join(size, "key").withColumn("place", place).filter(F.col("place") < F.greatest(F.lit(float(SAMPLE)), ROWS_A_LIST * F.sqrt("n"))))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit_upper(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hash")
-        n = int(pdf["n"].iloc[0])
         units = _units(np.stack(pdf["vector"].to_list()).astype(np.float64))
-        lists = int(min(MOST_LISTS, max(1, round(n**0.5)), len(units)))
-        kept = units[:: max(1, len(units) // 2000)]
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "dim": [units.shape[1]], "centroids": [fit_centroids(units, lists).ravel().tolist()], "sample": [kept.ravel().tolist()]})
+        cells = min(max(1, round(int(pdf["n"].iloc[0]) ** 0.25)), len(units))
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "dim": [units.shape[1]], "centroids": [fit_centroids(units, cells).ravel().tolist()]})
 
-    fitted = sample.groupBy("key").applyInPandas(fit, "key string, dim int, centroids array<double>, sample array<double>").collect()  # MOST_LISTS centroids a model
-    models = spark.sparkContext.broadcast({r[0]: _Model(i, np.array(r[2]).reshape(-1, r[1]), np.array(r[3]).reshape(-1, r[1]), counts[r[0]], probes) for i, r in enumerate(sorted(fitted))})
+    fitted = sample.filter(F.col("place") < SAMPLE).groupBy("key").applyInPandas(fit_upper, "key string, dim int, centroids array<double>").collect()  # n ** 0.25 centroids a model
+    upper = spark.sparkContext.broadcast({r[0]: np.array(r[2]).reshape(-1, r[1]) for r in fitted})
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["cell"] = 0
+            for key in pdf["key"].unique():
+                own = pdf["key"] == key
+                pdf.loc[own, "cell"] = (_units(np.stack(pdf.loc[own, "vector"].to_list()).astype(np.float64)) @ upper.value[key].T).argmax(1)
+            yield pdf
+
+    def fit_lower(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("hash")
+        key, n = pdf["key"].iloc[0], int(pdf["n"].iloc[0])
+        units = _units(np.stack(pdf["vector"].to_list()).astype(np.float64))
+        rows = min(n, max(SAMPLE, ROWS_A_LIST * n**0.5))  # in the whole sample, about
+        centroids = fit_centroids(units, min(max(1, round(n**0.5 * len(units) / rows)), len(units)))
+        counts = np.bincount((units @ centroids.T).argmax(1), minlength=len(centroids))
+        kept = units[:: max(1, round(rows / 2000))]
+        return pd.DataFrame({"key": [key], "cell": [pdf["cell"].iloc[0]], "centroids": [centroids.ravel().tolist()], "counts": [counts.tolist()], "sample": [kept.ravel().tolist()]})
+
+    fitted = sample.mapInPandas(cells, "key string, hash string, vector array<float>, n long, place long, cell int").groupBy("key", "cell").applyInPandas(fit_lower, "key string, cell int, centroids array<double>, counts array<long>, sample array<double>").collect()  # n ** 0.5 centroids a model
+    lower: dict = {}
+    for r in sorted(fitted, key=lambda r: (r[0], r[1])):
+        lower.setdefault(r[0], []).append([np.array(x) for x in r[2:]])
+    found, first = {}, 0
+    for key, cells_ in lower.items():
+        dim = upper.value[key].shape[1]
+        centroids, number, kept = (np.concatenate(x) for x in zip(*cells_))
+        found[key] = _Model(first, centroids.reshape(-1, dim), number, kept.reshape(-1, dim), counts[key], probes)
+        first = int(found[key].first[-1])
+    models = spark.sparkContext.broadcast(found)
     parts = sum(int(m.slices.sum()) for m in models.value.values())
     routed = keyed.mapInArrow(_route(models), "part long, kind int, key string, hash string, vector array<float>")
     found = routed.repartition(max(2, min(parts, 10_000)), "part").sortWithinPartitions("part", "kind").mapInArrow(_search(models, k), _FOUND)

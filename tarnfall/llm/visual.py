@@ -208,3 +208,13 @@ def visual_twins(digests: DataFrame) -> DataFrame:
         .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         .distinct()
     )
+
+
+def visual_classes(digests: DataFrame) -> DataFrame:
+    """``id, class_id, stored_id, spellings``: each text's form, its stored text, and how many stored texts have the form.
+
+    Nothing is made of pairs, so a form that a third of all texts have is only counted.
+    """
+    digests = stage(digests)
+    kinds = digests.select("form", "stored").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("spellings"))
+    return digests.distinct().join(kinds, "form").select("id", F.lower(F.hex("form")).alias("class_id"), F.lower(F.hex("stored")).alias("stored_id"), "spellings")
