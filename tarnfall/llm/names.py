@@ -492,17 +492,24 @@ def blocked_pairs(forms: DataFrame) -> DataFrame:
     tag = F.col("tag")
     tokens = refs.filter(tag.isin("S", "O", "R")).groupBy(F.col("value").alias("token")).agg(F.max(tag == "R").alias("loose"))
     near = stage(_near_tokens(tokens))
-    close = near.filter("close").select("value", "to")
     word = refs.filter(tag.isin("S", "O") & F.startswith("value", F.lit("o"))).select("form", "value").distinct()
     rarest = word.join(word.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value").groupBy("form").agg(F.min(F.struct("n", "value"))["value"].alias("rarest"))
-    left = refs.filter(~tag.isin("S", "f", "L")).withColumnRenamed("form", "a")
-    more = left.filter(tag.isin("O", "R")).join(near, "value").filter((tag == "O") & F.col("close") | (tag == "R") & F.col("near"))
-    left = left.unionByName(more.select("a", "key", "tag", F.col("to").alias("value"), "beside"))
-    left = left.unionByName(left.filter("beside <> ''").join(close.toDF("beside", "other"), "beside").select("a", "key", "tag", "value", F.col("other").alias("beside")))
+    often = refs.filter(tag.isin("S", "O", "R")).groupBy("value").agg(F.count_distinct("form").alias("n"))
+    both = near.join(often, "value").join(often.withColumnsRenamed({"value": "to", "n": "m"}), "to")
+    up = stage(both.filter("m > n or (m = n and to > value)").select("value", "to", "close"))
+
+    def widened(rows: DataFrame) -> DataFrame:
+        """With rows for the more common tokens that the own ones are like; so of two that are alike, both have the more common."""
+        more = rows.filter(tag.isin("S", "O", "R")).join(up, "value").filter(F.col("close") | (tag == "R")).withColumn("value", F.col("to"))
+        rows = rows.unionByName(more.select(rows.columns))
+        more = rows.filter("beside <> ''").join(up.filter("close").select(F.col("value").alias("beside"), "to"), "beside").withColumn("beside", F.col("to"))
+        return rows.unionByName(more.select(rows.columns))
+
+    left = widened(refs.filter(~tag.isin("S", "f", "L")).withColumnRenamed("form", "a"))
     right = refs.filter("tag <> 'A'").withColumnRenamed("form", "b").join(rarest.withColumnRenamed("form", "b"), "b", "left")
-    right = right.filter(~tag.isin("S", "O") | F.col("rarest").isNull() | (F.col("value") == F.col("rarest")) | (F.col("beside") == F.col("rarest")))
+    right = right.filter(~tag.isin("S", "O") | F.col("rarest").isNull() | (F.col("value") == F.col("rarest")) | (F.col("beside") == F.col("rarest"))).drop("rarest")
     meets = F.when(tag == "S", "O").when(tag == "f", "i").when(tag == "L", "A").otherwise(tag)
-    met = left.join(right.select("b", "key", meets.alias("tag"), "value", "beside"), ["key", "tag", "value", "beside"]).filter("a <> b")
+    met = left.join(widened(right).withColumn("tag", meets), ["key", "tag", "value", "beside"]).filter("a <> b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
