@@ -19,19 +19,18 @@ def recall(hits: str, truth: str) -> Column:
     return F.when(F.size(truth) == 0, 0.0).otherwise(F.size(F.array_intersect(hits, truth)) / F.size(truth))
 
 
-def percentile(values: str, p: float) -> Column:
-    """The element at floor(p * n), at most the last, of the sorted values; 0 when there are none."""
-    n = F.size(values)
-    return F.when(n == 0, 0.0).otherwise(F.element_at(F.sort_array(values), (F.least(F.floor(n * p), n - 1) + 1).cast("int")))
-
-
-def ndcg(gains: str) -> Column:
-    """Discounted gain of an ordered array over that of its best order; 0 if there is none."""
-    def dcg(x):
-        return F.aggregate(F.transform(x, lambda v, i: v / F.log2(i + 2.0)), F.lit(0.0), lambda s, v: s + v)
-
-    best = dcg(F.sort_array(gains, asc=False))
-    return F.when(best > 0, dcg(F.col(gains)) / best).otherwise(0.0)
+def ndcg(hits: str, truth: str, k: int) -> Column:
+    """Discounted gain of the first ``k`` hits over that of the true order.
+
+    A hit's gain is 1 / its place in ``truth``, 0 if it isn't there; both are arrays of
+    ids in order. 0 if either is empty.
+    """
+    n = F.least(F.lit(k), F.size(hits), F.size(truth))
+    gain = lambda x: F.when(F.array_position(truth, x) > 0, 1 / F.array_position(truth, x)).otherwise(0.0)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    found = total(F.transform(F.slice(hits, 1, n), lambda x, i: gain(x) / F.log2(i + 2.0)))
+    best = total(F.transform(F.sequence(F.lit(1), n), lambda i: 1 / i / F.log2(i + 1.0)))
+    return F.when(n > 0, found / best).otherwise(0.0)
 
 
 def f1(true: Column, found: Column, expected: Column) -> tuple[Column, Column, Column]:

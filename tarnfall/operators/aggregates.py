@@ -44,14 +44,54 @@ def mean_vote(ballots: DataFrame, candidate: str, score: str) -> DataFrame:
 
 
 def borda_vote(ballots: DataFrame, ballot: str, candidate: str, score: str) -> DataFrame:
-    """``candidate, points``: on each ballot, a candidate gets a point for each one ranked below."""
+    """``candidate, points``: on each ballot, a candidate gets a point for each one ranked below; scores that aren't finite don't count."""
     w = Window.partitionBy(ballot)
-    ranked = ballots.withColumn("_r", F.row_number().over(w.orderBy(F.desc(score), candidate))).withColumn("_n", F.count(F.lit(1)).over(w))
+    finite = F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < F.lit(float("inf")))
+    ranked = ballots.filter(finite).withColumn("_r", F.row_number().over(w.orderBy(F.desc(score), candidate))).withColumn("_n", F.count(F.lit(1)).over(w))
     return ranked.groupBy(candidate).agg(F.sum(F.col("_n") - F.col("_r")).alias("points"))
 
 
-def quorum(verdicts: DataFrame, key: str, passed: Column) -> DataFrame:
-    """``majority, unanimous, passes, verdicts``; a missing verdict fails both."""
+def quorum(verdicts: DataFrame, key: str, passed: Column, at_least: int = 1) -> DataFrame:
+    """``majority, unanimous, enough, passes, verdicts``; a missing verdict fails all three, ``enough`` asks for ``at_least`` passes."""
     g = verdicts.groupBy(key).agg(F.sum(F.when(passed, 1).otherwise(0)).alias("passes"), F.count(F.lit(1)).alias("verdicts"), F.count(F.when(passed.isNull(), 1)).alias("_m"))
     whole = F.col("_m") == 0
-    return g.select(key, "passes", "verdicts", (whole & (F.col("passes") >= F.floor(F.col("verdicts") / 2) + 1)).alias("majority"), (whole & (F.col("passes") == F.col("verdicts"))).alias("unanimous"))
+    return g.select(key, "passes", "verdicts", (whole & (F.col("passes") >= F.floor(F.col("verdicts") / 2) + 1)).alias("majority"), (whole & (F.col("passes") == F.col("verdicts"))).alias("unanimous"), (whole & (F.col("passes") >= at_least)).alias("enough"))
+
+
+def nearest_rank(df: DataFrame, key: str, value: str, part: float, name: str) -> DataFrame:
+    """``key, name``: of each key's values in order, the one at floor(part * n), at most the last; null values don't count.
+
+    Equal values are counted first; what is put in order is a row per different value.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.groupBy(key).agg(F.sum("_c").alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.least(F.floor(F.col("_n") * part), F.col("_n") - 1)
+    return upto.join(total, key).filter(F.col("_upto") > at).groupBy(key).agg(F.min(value).alias(name))
+
+
+def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial sums ``records, total, last_ts`` put together."""
+    return parts.groupBy(*keys).agg(F.sum("records").alias("records"), F.sum("total").alias("total"), F.max("last_ts").alias("last_ts"))
+
+
+def level_for(points: Column) -> Column:
+    """1 and one more at 100, 400, 900 ... points."""
+    return F.floor(F.sqrt(points / 100)) + 1
+
+
+def touched(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """One row per key: when it was made, last touched, and how often it came."""
+    return rows.groupBy(*keys).agg(F.min(time).alias("created"), F.max(time).alias("touched"), F.count(F.lit(1)).alias("times"))
+
+
+def applied(memories: DataFrame, decay: float, least: float, reinforced: DataFrame, gain: float, superseded: DataFrame, new: DataFrame) -> DataFrame:
+    """``k, strength`` after decay, reinforcement, supersession and insertion, in this order.
+
+    What decays below ``least`` goes; ``reinforced`` and ``superseded`` name keys; a new
+    row whose key is there already is left out. The factors are ours.
+    """
+    weak = memories.withColumn("strength", F.col("strength") * decay).filter(F.col("strength") >= least)
+    strong = weak.join(reinforced.select("k").distinct().withColumn("_r", F.lit(gain)), "k", "left").withColumn("strength", F.col("strength") + F.coalesce("_r", F.lit(0.0))).drop("_r")
+    left = strong.join(superseded.select("k").distinct(), "k", "left_anti").select("k", "strength")
+    return left.unionByName(new.join(left.select("k"), "k", "left_anti").select("k", "strength"))

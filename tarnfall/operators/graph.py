@@ -7,13 +7,12 @@ come to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnfall.operators.components import connected_components
+from tarnfall.operators.relational import numbered
 from tarnfall.sources.tables import stage
 
 
@@ -69,64 +68,101 @@ def whole_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(edges.columns)
 
 
-#: Edges that one task may put in order in memory.
-CORE_ROWS = 50_000
-
-
-def _order_core(level: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        edges = pd.concat(parts, ignore_index=True)
-        after: dict = {}
-        pending: dict = {}
-        for a, b in zip(edges["a"], edges["b"]):
-            pending.setdefault(b, 0)
-            if a is not None:
-                after.setdefault(a, []).append(b)
-                pending[b] += 1
-        free, at, found = [n for n, k in pending.items() if not k], level, dict.fromkeys(pending, -1)
-        while free:
-            following = []
-            for n in free:
-                found[n] = at
-                for m in after.get(n, ()):
-                    pending[m] -= 1
-                    if not pending[m]:
-                        following.append(m)
-            free, at = following, at + 1
-        yield pd.DataFrame({"node": list(found), "level": list(found.values())})
-
-    return run
-
-
-def topological_levels(edges: DataFrame, core_rows: int = CORE_ROWS) -> DataFrame:
+def traverse(
+    nodes: DataFrame, edges: DataFrame, root: str, depth: int = 3, direction: str = "both", edge_types: list[str] | None = None, min_weight: float | None = None,
+    node_types: list[str] | None = None, time_range: tuple[str, str] | None = None, max_nodes: int | None = 1000, max_edges: int | None = 5000,
+) -> DataFrame:
+    """``node, hop``: what a filtered walk from one node reaches.
+
+    ``nodes`` has ``id, node_type, properties``, ``edges`` has ``id, source, target,
+    edge_type, properties``, the properties as JSON. ``direction`` is outgoing, incoming
+    or both. A missing confidence counts as 0, a missing created_time passes; times are
+    compared as texts. A node that fails a filter is neither returned nor passed; a root
+    that does gives nothing, one that isn't there is an error.
+
+    Both limits stop the walk and keep what was found, in the order of hop, node, edge:
+    edges count before any filter, and the walk ends with the first beyond ``max_edges``;
+    nodes are counted after each is taken, so at least one besides the root is. None
+    sets no limit, and then nothing is put in order.
+    """
+    of = lambda c, key: F.get_json_object(c, f"$.{key}")
+    there = nodes.groupBy(F.col("id").alias("node")).agg(F.max("node_type").alias("node_type"), F.max(of("properties", "created_time")).alias("t"))
+    good = F.lit(True) if node_types is None else F.col("node_type").isin(node_types)
+    if time_range is not None:
+        good = good & (F.col("t").isNull() | F.col("t").between(*time_range))
+    start = there.filter(F.col("node") == root).select(good.alias("good")).first()
+    if start is None:
+        raise ValueError(f"there is no node {root!r}")
+    there = there.filter(good).select("node")
+    wanted = F.lit(True) if edge_types is None else F.col("edge_type").isin(edge_types)
+    if min_weight is not None:
+        wanted = wanted & (F.coalesce(of("properties", "confidence").cast("double"), F.lit(0.0)) >= min_weight)
+    plain = edges.select("id", "source", "target", F.coalesce(wanted, F.lit(False)).alias("wanted")).distinct()
+    ends = F.array(F.struct(F.col("source").alias("a"), F.col("target").alias("b"), F.lit(direction != "incoming").alias("way")), F.struct(F.col("target").alias("a"), F.col("source").alias("b"), F.lit(direction != "outgoing").alias("way")))
+    both = plain.select("id", "wanted", F.inline(ends)).filter("a <> b or way").filter("a is not null and b is not null")
+    seen = stage(nodes.sparkSession.createDataFrame([(root, 0)] if start["good"] else [], "node string, hop int"))
+    frontier, passed, count = seen, 0, 1
+    for hop in range(1, depth + 1):
+        step = frontier.select(F.col("node").alias("a")).join(both, "a")
+        if max_edges is not None:
+            step = stage(step.orderBy("a", "id").limit(max_edges - passed + 1))
+            n = step.count()
+            last = n > max_edges - passed
+            step = step.orderBy("a", "id").limit(max_edges - passed)
+            passed += n
+        kept = step.filter("wanted and way").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "id")).alias("first"))
+        kept = kept.join(there, "node", "left_semi").join(seen, "node", "left_anti")
+        if max_nodes is not None:
+            kept = kept.orderBy("first").limit(max(1, max_nodes - count))
+        frontier = stage(kept.select("node", F.lit(hop).alias("hop")))
+        seen = seen.unionByName(frontier)
+        n = frontier.count()
+        count += n
+        if not n or (max_edges is not None and last) or (max_nodes is not None and count >= max_nodes):
+            break
+    return seen
+
+
+def topological_levels(edges: DataFrame) -> DataFrame:
     """``node, level``: 0 without predecessors, else one more than the highest; -1 on or behind a cycle.
 
     ``edges`` has ``a, b``: a comes before b. Each round takes the nodes off that have no
-    predecessor left; once at most ``core_rows`` edges remain, one task finishes them.
+    predecessor left, so there are as many rounds as levels, and each is a join.
     """
-    edges = edges.filter("a is not null and b is not null").select("a", "b").distinct()
-    nodes = edges.select(F.col("a").alias("b")).union(edges.select("b")).distinct()
-    # every node that is left has a row of its own, with a null a, besides those of its edges
-    live = stage(edges.unionByName(nodes.select(F.lit(None).cast("string").alias("a"), "b")))
-    level, parts = 0, []
-    while live.count() > core_rows:
-        bound = live.filter("a is not null").select("b").distinct()
-        free = stage(live.filter("a is null").select("b").join(bound, "b", "left_anti"))
-        if free.isEmpty():
-            parts.append(live.filter("a is null").select(F.col("b").alias("node"), F.lit(-1).alias("level")))
-            live = live.filter("false")
+    edges = stage(edges.filter("a is not null and b is not null").select("a", "b").distinct())
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    into = edges.groupBy(F.col("b").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    state = stage(nodes.join(into, F.col("node") == F.col("k"), "left").select("node", F.coalesce("c", F.lit(0)).alias("pending")))
+    level, out = 0, None
+    while True:
+        free = state.filter("pending = 0").select("node")
+        part = free.select("node", F.lit(level).alias("level"))
+        out = part if out is None else out.unionByName(part)
+        sent = free.withColumnRenamed("node", "a").join(edges, "a").groupBy(F.col("b").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+        after = stage(state.filter("pending > 0").join(sent, F.col("node") == F.col("k"), "left").select("node", (F.col("pending") - F.coalesce("c", F.lit(0))).alias("pending")))
+        if after.filter("pending = 0").isEmpty():
             break
-        parts.append(free.select(F.col("b").alias("node"), F.lit(level).alias("level")))
-        gone = free.withColumnRenamed("b", "a")
-        live = stage(live.join(gone, "a", "left_anti").join(free, "b", "left_anti").select("a", "b"))
-        level += 1
-    out = live.repartition(1).mapInPandas(_order_core(level), "node string, level int")
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+        state, level = after, level + 1
+    return out.unionByName(after.select("node", F.lit(-1).alias("level")))
+
+
+def topological_order(edges: DataFrame) -> DataFrame:
+    """``node, level, position``: every node behind its predecessors; those of cycles come last, by name."""
+    levels = topological_levels(edges)
+    return numbered(levels, [F.col("level") < 0, F.col("level"), F.col("node")], "position")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """``node, cycle``: the nodes on cycles, or on a way between two, with the smallest node of their part.
+
+    Peeled from both sides: what has no predecessor left goes, then what has no successor.
+    """
+    own = edges.filter("a is not null and b is not null").select("a", "b").distinct()
+    for forward in (True, False):
+        way = own if forward else own.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        stuck = stage(topological_levels(way).filter("level < 0").select("node"))
+        own = own.join(stuck.withColumnRenamed("node", "a"), "a", "left_semi").join(stuck.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    return connected_components(own).select("node", F.col("component").alias("cycle"))
 
 
 def ready(tasks: DataFrame, edges: DataFrame, pending: Column, done: Column) -> DataFrame:

@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from tarnfall.functions.text import byte_vector
+from tarnfall.operators.relational import numbered
+from tarnfall.operators.retrieval import top_k_vectors
 from tarnfall.sources.tables import stage
 
 MAX_HOP, MAX_ENTITIES, MAX_ROWS, TOP_K = 3, 100, 10_000, 10
@@ -59,19 +61,94 @@ def expand(relations: DataFrame, seeds: DataFrame, max_hop: int = MAX_HOP, max_e
     return events.withColumn("score", F.round(1 / F.col("hop"), 6)), warning
 
 
-def chosen_hops(relations: DataFrame, seeds: DataFrame, choose, max_hop: int = MAX_HOP) -> DataFrame:
-    """As :func:`expand`, but per hop one entity, which ``choose(candidates) -> id`` picks; the smallest by default."""
+def atomic(events: DataFrame, relations: DataFrame, entities: DataFrame, seeds: DataFrame, k: int = TOP_K) -> DataFrame:
+    """``event_id, entity_id, score, hop``: the ``k`` newest pairs of a seed and an event, one hit each.
+
+    An event of two seeds is two hits. Newest by the event's created_time, then by ids.
+    """
+    pairs = relations.select("event_id", "entity_id").join(seeds.select("entity_id"), "entity_id", "left_semi").distinct()
+    known = entities.select(F.col("id").alias("entity_id")).distinct()
+    times = events.groupBy(F.col("id").alias("event_id")).agg(F.max("created_time").alias("t"))
+    hits = pairs.join(known, "entity_id", "left_semi").join(times, "event_id")
+    return hits.orderBy(F.desc("t"), "event_id", "entity_id").limit(k).select("event_id", "entity_id", F.lit(1.0).alias("score"), F.lit(1).alias("hop"))
+
+
+def events_of(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """``event_id``: the events of all ``entities`` (``entity_id``) at once, each once."""
+    return relations.join(entities.select("entity_id"), "entity_id", "left_semi").filter("event_id <> ''").select("event_id").distinct()
+
+
+def loose_search(events: DataFrame, relations: DataFrame, entities: DataFrame, query: str, max_hop: int = MAX_HOP) -> DataFrame:
+    """``event_id, hop, score, strategy``: expansion from entities whose name holds the query, or else from those with it as name.
+
+    Events that have no row themselves are left out.
+    """
+    seeds = stage(match_entities(entities, [query], loose=True))
+    name = "loose"
+    if seeds.isEmpty():
+        seeds, name = match_entities(entities, [query]), "multi"
+    found, _ = expand(relations, seeds, max_hop)
+    return found.join(events.select(F.col("id").alias("event_id")), "event_id", "left_semi").select("event_id", "hop", "score", F.lit(name).alias("strategy"))
+
+
+def chosen_hops(relations: DataFrame, seeds: DataFrame, choose=None, max_hop: int = MAX_HOP) -> DataFrame:
+    """``event_id, hop, strategy``: per hop the events of one entity, which ``choose(candidates) -> id`` picks.
+
+    The smallest id is picked by default. If ``choose`` fails, the search falls back to
+    one hop from all seeds, under the same name.
+    """
     links = stage(relations.filter("event_id <> '' and entity_id <> ''").select("event_id", "entity_id").distinct())
     pick = choose or (lambda c: (c.orderBy("entity_id").first() or [None])[0])
-    found, used, at = None, [], pick(seeds)
-    for hop in range(1, max_hop + 1):
-        if at is None:
-            break
-        used.append(at)
-        own = links.filter(F.col("entity_id") == at).select("event_id", F.lit(hop).alias("hop"))
-        found = own if found is None else found.unionByName(own.join(found, "event_id", "left_anti"))
-        at = pick(links.join(own, "event_id", "left_semi").filter(~F.col("entity_id").isin(used)).select("entity_id").distinct())
-    return found if found is not None else links.filter("false").select("event_id", F.lit(1).alias("hop"))
+    found, used = None, []
+    try:
+        at = pick(seeds)
+        for hop in range(1, max_hop + 1):
+            if at is None:
+                break
+            used.append(at)
+            own = links.filter(F.col("entity_id") == at).select("event_id", F.lit(hop).alias("hop"))
+            found = own if found is None else found.unionByName(own.join(found, "event_id", "left_anti"))
+            at = pick(links.join(own, "event_id", "left_semi").filter(~F.col("entity_id").isin(used)).select("entity_id").distinct())
+    except Exception:  # whatever the caller's function raises
+        found = expand(relations, seeds, 1)[0].select("event_id", "hop")
+    out = found if found is not None else links.filter("false").select("event_id", F.lit(1).alias("hop"))
+    return out.select("event_id", "hop", F.lit("chosen").alias("strategy"))
+
+
+def search(query: str, events: DataFrame, relations: DataFrame, entities: DataFrame, k: int = TOP_K, nearest: int = 5) -> tuple[DataFrame, list[str]]:
+    """The eight steps of a search: hits ``event_id, hop, score, chunk_id``, and what each step did.
+
+    1 vectorise the query, 2 find entities in it, 3 the entities with the nearest name
+    vectors, 4 their events, 5 events one hop from the entities of step 2, 6 chunks of
+    the hits where none is known, 7 the best ``k``, 8 the result. Steps 3 and 4 give
+    candidates, which the hits don't depend on.
+    """
+    trace = ["1 vectorise: 384 dimensions"]
+    seeds = stage(entities.filter((F.col("name") != "") & F.contains(F.lit(query), F.col("name"))).select(F.col("id").alias("entity_id")).distinct())
+    trace.append(f"2 entities: {seeds.count()}")
+    near = stage(nearest_names(entities, query, nearest))
+    best = near.agg(F.count(F.lit(1)), F.max("score")).first()
+    trace.append(f"3 nearest entities: {best[0]}, best score {best[1] or 0.0:.4f}")
+    trace.append(f"4 candidate events: {events_of(relations, near).count()}" if best[0] else "4 candidate events: skipped")
+    hits = stage(expand(relations, seeds, 1)[0].join(events.select(F.col("id").alias("event_id")), "event_id", "left_semi").select("event_id", "hop", F.col("score").cast("double").alias("score")))
+    trace.append(f"5 expansion: {hits.count()} events")
+    chunks = events.groupBy(F.col("id").alias("event_id")).agg(F.max("chunk_id").alias("chunk_id"))
+    hits = stage(hits.join(chunks, "event_id", "left"))
+    trace.append(f"6 chunks: {hits.filter('chunk_id is not null').count()} added")
+    hits = stage(rerank(hits, k))
+    top = rerank(hits, 3).collect()  # three rows
+    trace.append(f"7 rerank: top {k}, first " + ", ".join(f"{r['event_id']} ({r['score']:.3f})" for r in top))
+    lacking = hits.filter("hop is null").count()
+    trace.append(f"8 result: {hits.count()} hits, {lacking} without hop")
+    return hits, trace
+
+
+def nearest_names(entities: DataFrame, query: str, k: int) -> DataFrame:
+    """``entity_id, score``: entities whose name's byte vector is most like the query's."""
+    named = entities.filter("name <> ''").groupBy(F.col("id").alias("entity_id")).agg(F.min("name").alias("name"))
+    vectors = named.select("entity_id", byte_vector("name").alias("v"))
+    asked = named.sparkSession.createDataFrame([(query,)], "q string").select(F.lit(0).alias("n"), byte_vector("q").alias("v"))
+    return top_k_vectors(vectors, "entity_id", "v", asked, "n", "v", k).select(F.col("id").alias("entity_id"), "score")
 
 
 def rerank(hits: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -87,8 +164,8 @@ def merge_entities(relations: DataFrame, source: str, target: str) -> DataFrame:
 def split_entity(relations: DataFrame, entity: str, parts: list[str]) -> DataFrame:
     """The entity's relations, in the order of their events, are dealt to ``parts`` in turn."""
     own = F.col("entity_id") == entity
-    n = F.row_number().over(Window.partitionBy(own).orderBy("event_id", "id"))
-    dealt = relations.filter(own).withColumn("entity_id", F.element_at(F.array(*map(F.lit, parts)), ((n - 1) % len(parts) + 1).cast("int")))
+    dealt = numbered(relations.filter(own), [F.col("event_id"), F.col("id")], "_n")
+    dealt = dealt.withColumn("entity_id", F.element_at(F.array(*map(F.lit, parts)), ((F.col("_n") - 1) % len(parts) + 1).cast("int"))).drop("_n")
     return relations.filter(~own | F.col("entity_id").isNull()).unionByName(dealt)
 
 
@@ -179,6 +256,22 @@ def _edge_batch(edges: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.list_(pa.string())) for k in (0, 1)], names=["events", "entities"])
 
 
+def activated_events(edges: DataFrame, entities: list[str]) -> DataFrame:
+    """``event_id``: the events of the hyperedges that hold one of the entities, each once."""
+    return activated(edges, entities).select(F.explode("events").alias("event_id")).distinct()
+
+
 def activated(edges: DataFrame, entities: list[str]) -> DataFrame:
     """Hyperedges that hold one of the entities."""
     return edges.filter(F.arrays_overlap("entities", F.array(*map(F.lit, entities))))
+
+
+def saved_mentions(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mentions ``id, event_id, type, normal, own`` as relations, and the entities that they make.
+
+    One entity per type and normalized name, with the smallest of the mentions' own ids;
+    every mention keeps its relation. ``deduplicated`` counts the mentions that found
+    their entity there. Types that no list knows pass through as they are.
+    """
+    entities = mentions.groupBy("type", "normal").agg(F.min("own").alias("entity_id"), F.count(F.lit(1)).alias("mentions")).withColumn("deduplicated", F.col("mentions") - 1)
+    return mentions.join(entities.select("type", "normal", "entity_id"), ["type", "normal"]), entities

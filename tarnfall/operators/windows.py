@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnfall.functions import text as T
+
 
 def keep_newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key in ``order``."""
@@ -13,10 +15,10 @@ def keep_newest(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
 
 
 def drop_oldest(df: DataFrame, keys: list[str], order: list[Column], part: int = 5) -> DataFrame:
-    """Without the oldest 1/``part`` of each key's rows, at least one."""
+    """Without the oldest 1/``part`` of each key's rows, at least one; a single row stays."""
     w = Window.partitionBy(*keys)
     n = F.count(F.lit(1)).over(w)
-    cut = F.greatest(F.lit(1), F.floor(n / part))
+    cut = F.when(n > 1, F.greatest(F.lit(1), F.floor(n / part))).otherwise(0)
     return df.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("_cut", cut).filter("_n > _cut").drop("_n", "_cut")
 
 
@@ -37,12 +39,12 @@ def sequence_patterns(df: DataFrame, session: str, order: list[Column], value: s
     return counted.select(F.array_join("p", " > ").alias("pattern"), F.size("p").alias("length"), "total", "sessions")
 
 
-def maximal_patterns(patterns: DataFrame, least_sessions: int) -> DataFrame:
-    """Patterns in enough sessions that no longer one contains with as many sessions.
+def maximal_patterns(patterns: DataFrame, least_sessions: int, least_total: int = 1) -> DataFrame:
+    """Patterns seen often enough, in enough sessions, that no longer one contains with as many sessions.
 
     Containment is an equi-join: each long pattern is taken apart into its runs.
     """
-    enough = patterns.filter(F.col("sessions") >= least_sessions)
+    enough = patterns.filter((F.col("sessions") >= least_sessions) & (F.col("total") >= least_total))
     p = F.split("pattern", " > ")
     inner = enough.select("sessions", p.alias("p"), F.size(p).alias("n")).filter("n > 2")
     cuts = inner.select("sessions", "p", "n", F.explode(F.sequence(F.lit(2), F.col("n") - 1)).alias("m")).select("sessions", "p", "m", F.explode(F.sequence(F.lit(1), F.col("n") - F.col("m") + 1)).alias("at"))
@@ -85,3 +87,53 @@ def newest_days(df: DataFrame, millis: Column, now_millis: Column, days: int) ->
 def turn_signatures(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``signature``: the values of each group, sorted, so order within doesn't matter."""
     return df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(value)), "|").alias("signature"))
+
+
+def long_sessions(df: DataFrame, session: str, order: list[Column], value: str, time: str, least: int, first: int) -> DataFrame:
+    """``session, steps, first_steps, start_ts, end_ts`` of sessions with enough steps, repeats collapsed; the ``first`` ones are listed."""
+    rows = collapse_repeats(df, [session], order, value)
+    w = Window.partitionBy(session)
+    n = rows.withColumn("_k", F.row_number().over(w.orderBy(*order)))
+    steps = rows.groupBy(session).agg(F.count(F.lit(1)).alias("steps")).filter(F.col("steps") >= least)
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", value))), lambda x: x[value]), " > ")  # ``first`` rows at most
+    taken = n.filter(F.col("_k") <= first).groupBy(session).agg(names.alias("first_steps"), F.min(time).alias("start_ts"), F.max(time).alias("end_ts"))
+    return steps.join(taken, session).select(session, "steps", "first_steps", "start_ts", "end_ts")
+
+
+def freed_tokens(df: DataFrame, key: str, order: list[Column], content: str, keep: int) -> DataFrame:
+    """``key, cleared, freed``: rows beyond the first ``keep``, at least one, in order, and a fourth of their bytes, each rounded down."""
+    ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    gone = F.col("_k") > max(keep, 1)
+    return ranked.groupBy(key).agg(F.count(F.when(gone, 1)).alias("cleared"), F.coalesce(F.sum(F.when(gone, F.floor(F.octet_length(content) / 4))), F.lit(0)).alias("freed"))
+
+
+def idle_decision(idle_millis: Column, asked: Column, chars: Column, minutes: int, least_chars: int) -> Column:
+    """wait before so many minutes of silence, then archive if something was asked and enough was written, else skip."""
+    return F.when(idle_millis < max(minutes, 1) * 60_000, "wait").when((asked >= 1) & (chars >= least_chars), "archive").otherwise("skip")
+
+
+def loop_guard(df: DataFrame, keys: list[str], order: list[Column], signature: str, n: int) -> DataFrame:
+    """``action``: nudge from the ``n``-th equal signature in a row on, abort from twice as many on, else go on."""
+    run = F.col("run")
+    return run_lengths(df, keys, order, signature).withColumn("action", F.when(run >= 2 * n, "abort").when(run >= n, "nudge").otherwise("go on"))
+
+
+def topic_matches(messages: DataFrame, topics: list[str], most: int) -> DataFrame:
+    """``id, topic, direct, hits`` of messages ``id, text`` that hold a topic's title or two of its keywords, the first ``most`` topics each.
+
+    ``topics`` is a hot list of a few titles, the first one first; each becomes a condition on the message.
+    """
+    form = T.search_form(F.col("text"))
+    spark = messages.sparkSession
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(topics)], "n int, t string").select("n", T.search_form(F.col("t")).alias("title"), F.transform(T.title_keywords(F.col("t")), T.search_form).alias("words")).collect()
+    found = []
+    for r in rows:
+        title, words = r["title"], [w for w in r["words"] if w]
+        if not title:
+            continue
+        direct = F.contains(form, F.lit(title)) | (F.contains(F.lit(title), form) if len(title) >= 4 else F.lit(False))
+        hits = sum((F.contains(form, F.lit(w)).cast("int") for w in words), F.lit(0))
+        found.append(F.when(direct | (hits >= 2), F.struct(F.lit(topics[r["n"]]).alias("topic"), direct.alias("direct"), hits.alias("hits"))))
+    if not found:
+        return messages.filter("false").select("id", F.lit("").alias("topic"), F.lit(True).alias("direct"), F.lit(0).alias("hits"))
+    return messages.filter(form != "").select("id", F.explode(F.slice(F.filter(F.array(*found), lambda x: x.isNotNull()), 1, most)).alias("x")).select("id", "x.topic", "x.direct", "x.hits")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfall.plans import graphs, problems, relational, text
+from tarnfall.plans import graphs, problems, relational, text, workspace
 
 
 def modules() -> list:
-    return [problems, relational, text, graphs]
+    return [problems, relational, text, graphs, workspace]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -75,9 +75,12 @@ def f8_expired(spark, folder):
     return table(spark, folder, "knowledge_event", "id", "end_time").filter(R.expired("end_time", F.lit("2026-04-01").cast("timestamp"))).select("id").distinct()
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'delete|drop table|overwrite|rejected|discard')")
+@query("SELECT doc_id, regexp_matches(lower(text), 'rm -rf|rm -fr|drop table|drop database|truncate|delete from|force push|push --force|push -f|reset --hard|git clean -|mkfs|dd if=|> /dev/') AS destructive, "
+       "regexp_matches(lower(text), '取消|放弃|跳过|稍后|暂不|退出|以后再|什么都不|都不选|不需要|cancel|skip|abort|quit|go back|none of|do nothing|nevermind|never mind') AS cancels FROM documents")
 def f14_phrases(spark, folder):
-    return table(spark, folder, "documents", "doc_id", "text").filter(R.any_phrase("text", ["delete", "drop table", "overwrite", "rejected", "discard"])).select("doc_id")
+    """Texts that would destroy something, and those that decline."""
+    d = table(spark, folder, "documents", "doc_id", "text")
+    return d.select("doc_id", R.any_phrase("text", R.DESTRUCTIVE).alias("destructive"), R.any_phrase("text", R.CANCELLING).alias("cancels"))
 
 
 @query("SELECT event_id, user_id, value FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'error') WHERE n <= 50")
@@ -194,14 +197,6 @@ def a7_memory_stats(spark, folder):
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("total"), F.count_distinct("session_id").alias("sessions"), F.round(F.coalesce(F.avg(F.char_length("payload")), F.lit(0.0)), 4).alias("mean_size"), F.count(F.when(F.col("ts") >= F.col("now") - 604800, 1)).alias("last_week"))
 
 
-@query("""WITH t AS (SELECT DISTINCT doc_id, created_time, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents)
-SELECT term, count(*) AS documents, min(created_time) AS first_seen, max(created_time) AS last_seen FROM t GROUP BY term""")
-def a8_term_frequency(spark, folder):
-    d = table(spark, folder, "documents", "doc_id", "created_time", "text")
-    t = d.select("created_time", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("term"))
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.min("created_time").alias("first_seen"), F.max("created_time").alias("last_seen"))
-
-
 def _terms(spark, folder):
     d = table(spark, folder, "documents", "doc_id", "created_time", "text")
     return d.select("doc_id", "created_time", F.explode(T.all_terms(F.col("text"))).alias("term"))
@@ -209,7 +204,7 @@ def _terms(spark, folder):
 
 @query()
 def a8_all_terms(spark, folder):
-    """As a8_term_frequency, of the terms of every script."""
+    """As a8_term_frequency, with the words of every script."""
     return _terms(spark, folder).groupBy("term").agg(F.count_distinct("doc_id").alias("documents"), F.min("created_time").alias("first_seen"), F.max("created_time").alias("last_seen"))
 
 
@@ -232,11 +227,28 @@ def a10_best_strategy(spark, folder):
     return A.best_by(table(spark, folder, "events", "event_id", "user_id", "event_type", "value").filter("value is not null"), "user_id", "event_type", "value", "event_id")
 
 
-@query("""SELECT entity_id, count(DISTINCT event_id) AS events, count(*) AS relations, array_to_string(list_sort(list(DISTINCT event_id)), ',') AS event_ids FROM (SELECT DISTINCT * FROM event_entity_relation)
-WHERE entity_id <> '' AND event_id <> '' GROUP BY entity_id""")
-def a12_reverse_index(spark, folder):
+_RELATED = "(SELECT DISTINCT * FROM event_entity_relation) WHERE entity_id <> '' AND event_id <> ''"
+
+
+@query(f"SELECT 'entity' AS side, entity_id AS id, count(DISTINCT event_id) AS others, count(*) AS relations FROM {_RELATED} GROUP BY entity_id UNION ALL SELECT 'event', event_id, count(DISTINCT entity_id), count(*) FROM {_RELATED} GROUP BY event_id")
+def a12_both_directions(spark, folder):
+    """Of every entity its events, of every event its entities, and the relations of both, counted."""
+    r = table(spark, folder, "event_entity_relation").distinct().filter("entity_id <> '' and event_id <> ''")
+    ends = F.array(F.struct(F.lit("entity").alias("side"), F.col("entity_id").alias("id"), F.col("event_id").alias("other")), F.struct(F.lit("event").alias("side"), F.col("event_id").alias("id"), F.col("entity_id").alias("other")))
+    return r.select(F.inline(ends)).groupBy("side", "id", "other").agg(F.count(F.lit(1)).alias("n")).groupBy("side", "id").agg(F.count(F.lit(1)).alias("others"), F.sum("n").alias("relations"))
+
+
+@query(f"SELECT entity_id, event_id, row_number() OVER (PARTITION BY entity_id ORDER BY event_id) AS place FROM (SELECT DISTINCT entity_id, event_id FROM {_RELATED})")
+def a11_reverse_index(spark, folder):
+    """The events of each entity in order, a row each, so that a hub makes no long row."""
+    r = table(spark, folder, "event_entity_relation", "entity_id", "event_id").filter("entity_id <> '' and event_id <> ''").distinct()
+    return r.select("entity_id", "event_id", F.row_number().over(Window.partitionBy("entity_id").orderBy("event_id")).alias("place"))
+
+
+@query(f"SELECT count(DISTINCT entity_id) AS entities, count(DISTINCT event_id) AS events, count(*) AS relations FROM {_RELATED}")
+def a17_row_counts(spark, folder):
     r = table(spark, folder, "event_entity_relation").distinct().filter("entity_id <> '' and event_id <> ''")
-    return r.groupBy("entity_id").agg(F.count_distinct("event_id").alias("events"), F.count(F.lit(1)).alias("relations"), F.array_join(F.sort_array(F.collect_set("event_id")), ",").alias("event_ids"))
+    return r.agg(F.count_distinct("entity_id").alias("entities"), F.count_distinct("event_id").alias("events"), F.count(F.lit(1)).alias("relations"))
 
 
 @query("SELECT kb_id, coalesce(max(level), -1) + 1 AS next FROM knowledge_event GROUP BY kb_id")
@@ -264,10 +276,10 @@ def a22_borda_vote(spark, folder):
     return A.borda_vote(b, "user_id", "event_type", "score")
 
 
-@query("""SELECT user_id, passes, verdicts, m = 0 AND passes >= verdicts // 2 + 1 AS majority, m = 0 AND passes = verdicts AS unanimous FROM
+@query("""SELECT user_id, passes, verdicts, m = 0 AND passes >= verdicts // 2 + 1 AS majority, m = 0 AND passes = verdicts AS unanimous, m = 0 AND passes >= 3 AS enough FROM
 (SELECT user_id, count(*) FILTER (value > 20) AS passes, count(*) AS verdicts, count(*) FILTER (value IS NULL) AS m FROM events GROUP BY user_id)""")
 def a23_quorum(spark, folder):
-    return A.quorum(table(spark, folder, "events", "user_id", "value"), "user_id", F.col("value") > 20)
+    return A.quorum(table(spark, folder, "events", "user_id", "value"), "user_id", F.col("value") > 20, 3)
 
 
 @query("SELECT user_id, min(ts) AS started, max(ts) AS ended, arg_max(event_type, CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END * 1000000000::BIGINT + event_id) AS status FROM events GROUP BY user_id")
@@ -315,12 +327,12 @@ def w6_sequence_patterns(spark, folder):
     return _patterns(spark, folder)
 
 
-@query(_PATTERNS + "SELECT * FROM g WHERE sessions >= 3 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.length > g.length AND h.sessions >= g.sessions AND contains(' > ' || h.pattern || ' > ', ' > ' || g.pattern || ' > '))")
+@query(_PATTERNS + "SELECT * FROM g WHERE sessions >= 3 AND total >= 5 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.total >= 5 AND h.length > g.length AND h.sessions >= g.sessions AND contains(' > ' || h.pattern || ' > ', ' > ' || g.pattern || ' > '))")
 def w7_maximal_patterns(spark, folder):
-    return W.maximal_patterns(_patterns(spark, folder), 3)
+    return W.maximal_patterns(_patterns(spark, folder), 3, 5)
 
 
-@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, greatest(1, count(*) OVER (PARTITION BY user_id) // 5) AS cut FROM events) WHERE n > cut")
+@query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN count(*) OVER (PARTITION BY user_id) > 1 THEN greatest(1, count(*) OVER (PARTITION BY user_id) // 5) ELSE 0 END AS cut FROM events) WHERE n > cut")
 def w11_drop_oldest(spark, folder):
     return W.drop_oldest(table(spark, folder, "events", "event_id", "user_id", "ts"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("event_id")
 
@@ -421,16 +433,18 @@ def s11_insert_missing(spark, folder):
     return R.insert_missing(n, new, ["k"])
 
 
-@query("SELECT p_partkey, CASE WHEN n = 1 THEN p_name ELSE p_name || '-' || n END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)")
+@query("""WITH n AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS k FROM part), c AS (SELECT p_name, i, row_number() OVER (PARTITION BY p_name ORDER BY i) AS k FROM (SELECT p_name, count(*) AS m FROM part GROUP BY p_name), range(2, 2000) t(i)
+WHERE i <= m + 1 AND NOT EXISTS (SELECT 1 FROM part p WHERE p.p_name = p_name || '-' || i)) SELECT p_partkey, CASE WHEN n.k = 0 THEN n.p_name ELSE n.p_name || '-' || c.i END AS unique_name FROM n LEFT JOIN c ON n.p_name = c.p_name AND n.k = c.k""")
 def s15_free_names(spark, folder):
     return R.free_names(table(spark, folder, "part", "p_partkey", "p_name"), "p_name", [F.col("p_partkey")]).select("p_partkey", "unique_name")
 
 
-@query("""SELECT doc_id, running FROM (SELECT doc_id, kb_id, count(*) OVER w AS n, sum(used) OVER w AS running FROM (SELECT doc_id, kb_id, least(length(text), 4096) AS used FROM documents WHERE length(text) > 0)
-WINDOW w AS (PARTITION BY kb_id ORDER BY doc_id ROWS UNBOUNDED PRECEDING)) WHERE n <= 20 AND running <= 61440""")
+@query("""SELECT doc_id, used, least(before + size, 61440)::BIGINT AS running FROM (SELECT doc_id, size, before, least(size, 61440 - before)::BIGINT AS used FROM (SELECT doc_id, size, coalesce(sum(size) OVER (PARTITION BY kb_id ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+FROM (SELECT doc_id, kb_id, CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 0 ELSE least(coalesce(length(text), 0), 4096) END AS size, row_number() OVER (PARTITION BY kb_id ORDER BY doc_id) AS n FROM documents) WHERE n <= 20)) WHERE used > 0""")
 def s17_budgeted_sample(spark, folder):
     d = table(spark, folder, "documents", "doc_id", "kb_id", "text")
-    return R.within_budget(d, [F.col("doc_id")], F.char_length("text"), 4096, 61440, 20, "kb_id").select("doc_id", F.col("running").cast("bigint").alias("running"))
+    size = F.when(F.col("text").rlike(r"^\s*$"), 0).otherwise(F.char_length("text"))
+    return R.within_budget(d, [F.col("doc_id")], size, 4096, 61440, 20, "kb_id").select("doc_id", F.col("used").cast("bigint").alias("used"), F.col("running").cast("bigint").alias("running"))
 
 
 @query("SELECT DISTINCT id, 'entity' AS kind FROM entity WHERE id = (SELECT min(id) FROM entity) UNION ALL SELECT DISTINCT id, 'event' FROM knowledge_event WHERE id = (SELECT min(id) FROM entity) AND NOT EXISTS (SELECT 1 FROM entity WHERE id = (SELECT min(id) FROM entity))")

@@ -28,11 +28,14 @@ def staging_root(spark: SparkSession) -> str:
     """The shared folder for staged tables.
 
     The session's ``spark.checkpoint.dir`` holds; a folder of our own is set only where
-    the session names none, as in tests on one machine.
+    the session names none and all of it runs on one machine. A cluster without the
+    setting is refused, as its executors share no such folder.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tarnfall-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
@@ -42,18 +45,26 @@ def staging_root(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return it as read from there.
 
-    Cuts the lineage. The files are removed when the driver's interpreter ends.
+    Cuts the lineage. The files are removed when the driver's interpreter ends, or by
+    :func:`drop_staged` once the results that were made of them are written.
     """
     spark = df.sparkSession
     path = f"{staging_root(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = snapshot(df, path)
     if not _staged:
-        atexit.register(_drop_staged)
+        atexit.register(drop_staged)
     _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
 
 
-def _drop_staged() -> None:
+def snapshot(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet to ``path``, in place of what is there, and return it as read from there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged() -> None:
+    """Remove all staged tables; results that aren't written yet can't be read any more."""
     spark = SparkSession.getActiveSession()
     try:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
