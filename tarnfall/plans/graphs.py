@@ -311,3 +311,19 @@ def x5_windowed_usage(spark, folder):
 def x8_last_writer(spark, folder):
     """Of every event the status that was written last; of equal times the greater one."""
     return S.last_writer_wins(table(spark, folder, "knowledge_event", "id", "status", "updated_time"), "id", "status", "updated_time", "status")
+
+
+@query("""WITH g AS (SELECT user_id, ts, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) > 7200000000)::INTEGER, 0) AS x FROM events), s AS (SELECT user_id, ts, sum(x) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+w AS (SELECT user_id, min(ts) AS started, max(ts) + to_hours(2) AS ended, count(*) AS events FROM s GROUP BY user_id, k) SELECT * FROM w WHERE ended <= (SELECT max(ts) FROM events) - to_minutes(10)""")
+def x7_idle_sessions(spark, folder):
+    """Sessions that ended with two hours of silence, as a stream gives them out; those that may go on aren't there."""
+    s = S.idle_sessions(_stream(spark, folder), "ts", "user_id")
+    return S.run_once(spark, s, *_places(spark))
+
+
+@query("SELECT user_id, count(*) AS events, max(ts) AS last_ts FROM events GROUP BY user_id")
+def x1_cursor_batches(spark, folder):
+    """Batches applied one after the other, each under its number; a batch that fails to be read three times is passed over."""
+    checkpoint, sink = _places(spark)
+    S.cursor_batches(_stream(spark, folder), checkpoint, S.numbered_writer(sink), most_failures=3)
+    return spark.read.parquet(f"{sink}/*").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_ts"))

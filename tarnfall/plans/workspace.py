@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from tarnfall.functions import schedule as D
 from tarnfall.functions import text as T
 from tarnfall.operators import aggregates as A
+from tarnfall.operators import extraction as X
 from tarnfall.operators import relational as R
 from tarnfall.operators import retrieval as V
 from tarnfall.operators import windows as W
@@ -424,6 +425,36 @@ def r19_citation_set(spark, folder):
     return R.keep_first(hits, ["source"], [F.desc("score"), F.col("id")], 3).select("source", "id", "score")
 
 
+# Extraction
+
+
+def _words(spark, folder):
+    n = table(spark, folder, "entity", "name", "entity_type_id").filter("name <> ''")
+    kind = F.when(F.col("entity_type_id") == "person", "PERSON").when(F.col("entity_type_id") == "organization", "ORGANIZATION").when(F.col("entity_type_id") == "location", "LOCATION").otherwise("OTHER")
+    return n.select(kind.alias("kind"), F.col("name").alias("word"))
+
+
+@query()
+def t10_mentions(spark, folder):
+    """Times, numbers and names of known entities in every event's content."""
+    e = table(spark, folder, "knowledge_event", "id", "content").distinct()
+    return X.mentions(e, "id", "content", _words(spark, folder))
+
+
+@query()
+def i1_extracted_events(spark, folder):
+    """Events of each document's chunks, in order, from the mentions in them, as no model answers here."""
+    return X.extracted_events(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", _words(spark, folder))
+
+
+@query()
+def t11_answers(spark, folder):
+    """Payloads read as a model's answers: as they are, repaired, as a sentence, or by their mentions."""
+    m = table(spark, folder, "memory_l0_raw", "id", "payload").filter("payload is not null").distinct()
+    events = X.extracted_events(m, "id", "payload", _words(spark, folder), "payload", 1 << 30, 0)
+    return events.groupBy("id", "level").agg(F.count(F.lit(1)).alias("events"))
+
+
 # Stream-like
 
 

@@ -38,13 +38,33 @@ def run_once(spark: SparkSession, stream: DataFrame, checkpoint: str, sink: str,
     return spark.read.schema(stream.schema).parquet(sink)
 
 
-def cursor_batches(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> None:
-    """Hand every new batch to ``apply`` once it is there; the cursor moves only when ``apply`` returns.
+class BadBatch(Exception):
+    """Raised by ``apply`` for a batch whose content can't be read, whoever tries."""
+
+
+def cursor_batches(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None], most_failures: int = 3) -> None:
+    """Hand every new batch to ``apply`` once it is there; the cursor moves when ``apply`` returns.
 
     ``apply`` gets the batch's number and should write under it, so that a repeated batch
-    replaces itself.
+    replaces itself. If it raises :class:`BadBatch` it is tried again, ``most_failures``
+    times in all, and then the batch is passed over; any other error ends the run and
+    leaves the cursor, so the batch comes again.
     """
-    stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def run(df: DataFrame, number: int) -> None:
+        for _ in range(most_failures):
+            try:
+                return apply(df, number)
+            except BadBatch:
+                continue
+        return None
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def numbered_writer(sink: str) -> Callable[[DataFrame, int], None]:
+    """Writes each batch to a folder of its number, in place of what an earlier try left."""
+    return lambda df, number: df.write.mode("overwrite").parquet(f"{sink}/batch-{number:09d}")
 
 
 def last_writer_wins(entries: DataFrame, key: str, value: str, version: str, actor: str) -> DataFrame:
