@@ -111,3 +111,13 @@ def first_object(s: pd.Series) -> pd.Series:
         return None
 
     return s.map(one, na_action="ignore")
+
+
+def with_value(key: str, value):
+    """A function of a column: its JSON objects with ``key`` set to ``value``; other values as they are, invalid text gives null."""
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return _each(lambda v: json.dumps(v | {key: value} if isinstance(v, dict) else v, ensure_ascii=False, separators=(",", ":")))(s)
+
+    return run

@@ -39,8 +39,10 @@ def mean_vote(ballots: DataFrame, candidate: str, score: str) -> DataFrame:
     """``candidate, mean, votes, winner``: scores that aren't finite don't count; ties to the smaller candidate."""
     finite = F.when(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(score) < F.lit(float("inf"))), F.col(score))
     means = ballots.groupBy(candidate).agg(F.avg(finite).alias("mean"), F.count(finite).alias("votes"))
-    first = F.row_number().over(Window.orderBy(F.desc_nulls_last("mean"), candidate))  # a row per candidate
-    return means.withColumn("winner", first == 1)
+    best = means.agg(F.max("mean").alias("_best"))
+    at_best = means.crossJoin(F.broadcast(best)).filter(F.col("mean").eqNullSafe(F.col("_best")))  # one row
+    first = at_best.agg(F.min(candidate).alias("_first"))
+    return means.crossJoin(F.broadcast(first)).withColumn("winner", F.col(candidate) == F.col("_first")).drop("_first")  # one row
 
 
 def borda_vote(ballots: DataFrame, ballot: str, candidate: str, score: str) -> DataFrame:

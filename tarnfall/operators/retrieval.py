@@ -154,9 +154,15 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2
     return x.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def fuse(channels: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of frames ``id, score``: sum of 1 / (constant + rank), ties to the smaller id."""
-    ranked = [c.select("id", (1 / (constant + F.row_number().over(Window.orderBy(F.desc("score"), "id")))).alias("part")) for c in channels]  # each is a top list
+def fuse(channels: list[DataFrame], k: int, constant: int = 60, width: int | None = None) -> DataFrame:
+    """Reciprocal rank fusion of frames ``id, score``: sum of 1 / (constant + rank), ties to the smaller id.
+
+    Of each channel the best ``width`` rows are ranked, max(50, 5k) if not given, so no
+    task ever ranks more.
+    """
+    n = max(50, 5 * k) if width is None else width
+    best = [c.orderBy(F.desc("score"), "id").limit(n) for c in channels]
+    ranked = [c.select("id", (1 / (constant + F.row_number().over(Window.orderBy(F.desc("score"), "id")))).alias("part")) for c in best]  # n rows
     both = ranked[0]
     for r in ranked[1:]:
         both = both.unionByName(r)
@@ -165,9 +171,7 @@ def fuse(channels: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
 
 def hybrid(vector_scores: DataFrame, text_scores: DataFrame, k: int) -> DataFrame:
     """Fusion of the best max(50, 5k) of both channels."""
-    n = max(50, 5 * k)
-    best = lambda c: c.orderBy(F.desc("score"), "id").limit(n)
-    return fuse([best(vector_scores), best(text_scores)], k)
+    return fuse([vector_scores, text_scores], k)
 
 
 def backend_for(rows: Column) -> Column:

@@ -171,6 +171,13 @@ def n1_safe_extract(spark, folder):
     return n.select("id", F.coalesce(at("$.summary"), at("$.description")).alias("about")).distinct()
 
 
+@query("""SELECT DISTINCT id, CASE WHEN json_valid(properties) AND json_type(properties) = 'OBJECT' THEN 'true' END AS reviewed, CASE WHEN json_valid(properties) AND json_type(properties) = 'OBJECT' THEN json_extract_string(properties, '$.created_time') END AS created FROM graph_node""")
+def n1_json_set(spark, folder):
+    """Every object's properties with a member set; read again."""
+    n = table(spark, folder, "graph_node", "id", "properties").distinct().select("id", J.with_value("reviewed", True)("properties").alias("p"))
+    return n.select("id", F.get_json_object("p", "$.reviewed").alias("reviewed"), F.get_json_object("p", "$.created_time").alias("created")).distinct()
+
+
 @query("SELECT id, left(summary, 200) AS summary FROM (SELECT DISTINCT id, summary FROM knowledge_event)")
 def n8_cut(spark, folder):
     return table(spark, folder, "knowledge_event", "id", "summary").distinct().select("id", F.left("summary", F.lit(200)).alias("summary"))
