@@ -126,24 +126,46 @@ def traverse(
 def topological_levels(edges: DataFrame) -> DataFrame:
     """``node, level``: 0 without predecessors, else one more than the highest; -1 on or behind a cycle.
 
-    ``edges`` has ``a, b``: a comes before b. Each round takes the nodes off that have no
-    predecessor left, so there are as many rounds as levels, and each is a join.
+    ``edges`` has ``a, b``: a comes before b. A node with one predecessor is one level
+    behind it, so such nodes are first led back to the nearest node of another kind, by
+    doubling the way in every round; then those without predecessors are taken off, round
+    by round, over the edges between what is left. A tree takes a logarithmic number of
+    rounds, another graph besides them one for each node with several predecessors on its
+    longest way.
     """
     edges = stage(edges.filter("a is not null and b is not null").select("a", "b").distinct())
+    into = edges.groupBy("b").agg(F.count(F.lit(1)).alias("c"), F.max("a").alias("up"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    into = edges.groupBy(F.col("b").alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    state = stage(nodes.join(into, F.col("node") == F.col("k"), "left").select("node", F.coalesce("c", F.lit(0)).alias("pending")))
-    level, out = 0, None
+    state = stage(nodes.join(into, F.col("node") == F.col("b"), "left").select("node", F.coalesce("c", F.lit(0)).alias("pending"), F.when(F.col("c") == 1, F.col("up")).alias("up")))
+    total, inner = state.agg(F.count(F.lit(1)), F.count("up")).first()
+    single = state.filter("up is not null").select("node", "up", F.lit(1).cast("long").alias("dist"), F.lit(False).alias("there"))
+    rounds = inner.bit_length() + 1  # the longest way is led back by then, but on a cycle
+    for _ in range(rounds if total else 0):
+        on = single.select(F.col("node").alias("k"), F.col("up").alias("u"), F.col("dist").alias("d"), F.col("there").alias("t"))
+        step = single.filter("not there").join(on, F.col("up") == F.col("k"), "left")
+        more = F.col("k").isNotNull()
+        step = step.select("node", F.when(more, F.col("u")).otherwise(F.col("up")).alias("up"), (F.col("dist") + F.when(more, F.col("d")).otherwise(0)).alias("dist"), (~more | F.col("t")).alias("there"))
+        single = stage(single.filter("there").unionByName(step))
+        if single.filter("not there").isEmpty():
+            break
+    led = single.filter("there").select("node", "up", "dist")
+    left = state.filter("up is null").select("node", "pending", F.lit(0).cast("long").alias("level"))
+    several = edges.join(state.filter("pending > 1").select(F.col("node").alias("b")), "b", "left_semi")
+    # an edge from a node that is led back comes from where it is led to
+    ways = several.join(led.select(F.col("node").alias("a"), "up", "dist"), "a", "left").select(F.coalesce("up", "a").alias("a"), "b", (F.coalesce("dist", F.lit(0)) + 1).alias("dist"))
+    ways = stage(ways)
+    left, done = stage(left), None
     while True:
-        free = state.filter("pending = 0").select("node")
-        part = free.select("node", F.lit(level).alias("level"))
-        out = part if out is None else out.unionByName(part)
-        sent = free.withColumnRenamed("node", "a").join(edges, "a").groupBy(F.col("b").alias("k")).agg(F.count(F.lit(1)).alias("c"))
-        after = stage(state.filter("pending > 0").join(sent, F.col("node") == F.col("k"), "left").select("node", (F.col("pending") - F.coalesce("c", F.lit(0))).alias("pending")))
-        if after.filter("pending = 0").isEmpty():
+        free = left.filter("pending = 0").select("node", "level")
+        done = free if done is None else done.unionByName(free)
+        sent = free.join(ways, F.col("node") == F.col("a")).groupBy(F.col("b").alias("k")).agg(F.count(F.lit(1)).alias("c"), F.max(F.col("level") + F.col("dist")).alias("l"))
+        after = left.filter("pending > 0").join(sent, F.col("node") == F.col("k"), "left")
+        left = stage(after.select("node", (F.col("pending") - F.coalesce("c", F.lit(0))).alias("pending"), F.greatest("level", F.coalesce("l", F.lit(0))).alias("level")))
+        if left.filter("pending = 0").isEmpty():
             break
-        state, level = after, level + 1
-    return out.unionByName(after.select("node", F.lit(-1).alias("level")))
+    behind = led.join(done.select(F.col("node").alias("up"), "level"), "up").select("node", (F.col("level") + F.col("dist")).alias("level"))
+    known = done.unionByName(behind)
+    return nodes.join(known, "node", "left").select("node", F.coalesce("level", F.lit(-1)).cast("int").alias("level"))
 
 
 def topological_order(edges: DataFrame) -> DataFrame:

@@ -193,6 +193,21 @@ def test_order_and_cycles(spark):
     assert G.topological_levels(df.filter("false")).count() == 0 and G.cycles(df.filter("false")).count() == 0
 
 
+def test_levels_against_walks(spark):
+    r = random.Random(8)
+    for cyclic in (False, True):
+        edges = {(f"n{a:03}", f"n{b:03}") for a, b in ((r.randrange(120), r.randrange(120)) for _ in range(150)) if a < b or cyclic} | {(f"c{k:02}", f"c{k + 1:02}") for k in range(70)} | {("c40", "n119"), ("n001", "c00")}
+        into: dict = {}
+        for a, b in edges:
+            into.setdefault(a, set())
+            into.setdefault(b, set()).add(a)
+        want: dict = {}
+        while ready := [n for n, p in into.items() if n not in want and all(x in want for x in p)]:
+            want |= {n: max((want[x] + 1 for x in into[n]), default=0) for n in ready}
+        want = {n: want.get(n, -1) for n in into}
+        assert {x.node: x.level for x in G.topological_levels(spark.createDataFrame(sorted(edges), "a string, b string")).collect()} == want
+
+
 def test_chain_of_hops(spark):
     """Four entities over three events, from either end; and what a failing choice falls back to."""
     links = spark.createDataFrame([("1", "v1", "A"), ("2", "v1", "B"), ("3", "v2", "B"), ("4", "v2", "C"), ("5", "v3", "C"), ("6", "v3", "D")], "id string, event_id string, entity_id string")
