@@ -70,6 +70,15 @@ def cron_after(expression: str, after: datetime.datetime) -> datetime.datetime |
     return None
 
 
+def next_at(at: Column, now: Column) -> Column:
+    """A single run's time if it is still to come, else null."""
+    return F.when(at > now, at)
+
+
+def next_every(time: Column, seconds: int) -> Column:
+    return time + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+
+
 def next_cron(expression: str, time: str) -> Column:
     """:func:`cron_after` of a column, in UTC; null stays null."""
     cron_after(expression, datetime.datetime(2024, 1, 1))  # a bad expression fails here

@@ -175,10 +175,29 @@ def cited_names(c: Column, tag: str = "mem-citation") -> Column:
     return F.array_distinct(F.filter(names, lambda x: x != ""))
 
 
-def middle_cut(c: Column, most: int) -> Column:
-    """A text over ``most`` characters with its middle left out."""
-    half = most // 2
-    return F.when(F.char_length(c) <= most, c).otherwise(F.concat(F.left(c, F.lit(half)), F.lit("\n[...]\n"), F.right(c, F.lit(half))))
+def middle_cut(most: int, tokens: bool = False):
+    """A function of a column: texts over ``most`` bytes, or tokens of four bytes, with their middle left out.
+
+    Half of the budget, rounded down, goes to the beginning and the rest to the end; no
+    character is cut. A mark between them tells how many characters or tokens are gone.
+    """
+    budget = most * 4 if tokens else most
+
+    def one(text: str) -> str:
+        data = text.encode("utf-8", "surrogatepass")
+        if len(data) <= budget:
+            return text
+        head = data[: budget // 2].decode("utf-8", "ignore")
+        end = data[len(data) - (budget - budget // 2) :] if budget else b""
+        tail = end[next((k for k, c in enumerate(end) if c & 0xC0 != 0x80), len(end)) :].decode("utf-8", "ignore")
+        gone, unit = (-(-(len(data) - budget) // 4), "tokens") if tokens else (len(text) - len(head) - len(tail), "chars")
+        return f"{head}\n…{gone} {unit} truncated…\n{tail}"
+
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(one, na_action="ignore")
+
+    return run
 
 
 def heat(c: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from tarnfall.sources.tables import stage
+
 
 def chunk_spans(text: str, separator: str = "\n\n", size: int = 500, overlap: int = 50) -> list[tuple[int, int]]:
     """Paragraphs merged up to ``size`` characters; a longer one slides with ``overlap``. Spans are exact."""
@@ -210,9 +214,67 @@ def snippets(docs: DataFrame, key: str, text: str, query: list[str], limit: int
     return best.join(docs.select(F.col(key).alias("id"), F.left(F.col(text), F.lit(width)).alias("snippet")), "id")
 
 
+# A citation marker, and the letters of its source.
+MARKER = r"\[citation:([^\]]*)\]"
+SOURCES = {"V": "vector", "K": "keyword", "R": "fusion"}
+_MARKER = re.compile(MARKER)
+
+
+def marked_citations(text: str) -> tuple[str, list[tuple]]:
+    """The text with its markers as numbers, and (number, doc, chunk, start, end, source, score) of each marker in order.
+
+    A marker has four fields, document, chunk, start and end, or six, with source and
+    score behind them; others stay as they are. Numbers count the different pairs of
+    document and chunk by first appearance. Four fields mean source vector and score 0.
+    """
+    numbers: dict[tuple[str, str], int] = {}
+    found: list[tuple] = []
+
+    def replaced(m: re.Match) -> str:
+        f = m[1].split(":")
+        try:
+            if len(f) not in (4, 6):
+                raise ValueError
+            start, end = int(f[2]), int(f[3])
+            source, score = (SOURCES[f[4][:1]], float(f[5])) if len(f) == 6 else (SOURCES["V"], 0.0)
+            if start < 0 or end < 0:
+                raise ValueError
+        except (ValueError, KeyError):
+            return m[0]
+        n = numbers.setdefault((f[0], f[1]), len(numbers) + 1)
+        found.append((n, f[0], f[1], start, end, source, score))
+        return f"[{n}]"
+
+    return _MARKER.sub(replaced, text), found
+
+
 def citations(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, doc_id, chunk_id, number``: markers [cite:doc|chunk] numbered by first appearance."""
-    found = df.select(F.col(key), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"\[cite:([^\]]+)\]"), F.lit(1))).alias("pos", "m"))
-    parts = found.select(key, "pos", F.split("m", r"\|")[0].alias("doc_id"), F.split("m", r"\|")[1].alias("chunk_id"))
-    first = parts.groupBy(key, "doc_id", "chunk_id").agg(F.min("pos").alias("p"))
-    return first.select(key, "doc_id", "chunk_id", F.row_number().over(Window.partitionBy(key).orderBy("p")).alias("number"))
+    """``key, place, number, doc_id, chunk_id, span_start, span_end, source, score, rewritten``: a row for each marker of a text, which comes rewritten with its first one."""
+    types = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string())
+    names = ("place", "number", "doc_id", "chunk_id", "span_start", "span_end", "source", "score", "rewritten")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                new, found = marked_citations(t)
+                for place, c in enumerate(found):
+                    at.append(i)
+                    rows.append((place, *c, new if not place else None))
+            columns = list(zip(*rows)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], names=[key, *names])
+
+    kind = df.schema[key].dataType.simpleString()
+    own = df.select(key, text).filter(F.contains(text, F.lit("[citation:")))
+    return own.mapInArrow(run, f"`{key}` {kind}, place int, number int, doc_id string, chunk_id string, span_start long, span_end long, source string, score double, rewritten string")
+
+
+def index_benchmark(search: Callable[[DataFrame], DataFrame], exact: Callable[[DataFrame], DataFrame], queries: DataFrame) -> dict[str, float]:
+    """Mean seconds a query of a search, and the part of the exact result (``query, id``) that it finds."""
+    n = queries.count()
+    began = time.perf_counter()
+    found = stage(search(queries).select("query", "id"))
+    seconds = time.perf_counter() - began
+    truth = stage(exact(queries).select("query", "id"))
+    hits, total = truth.join(found, ["query", "id"], "left_semi").count(), truth.count()
+    return {"queries": n, "seconds_a_query": seconds / n if n else 0.0, "recall": hits / total if total else 0.0}

@@ -134,9 +134,15 @@ def t16_folded_lines(spark, folder):
     return _docs(spark, folder).select("doc_id", T.folded_lines("text").alias("text"))
 
 
-@query("SELECT doc_id, ceil(strlen(text) / 4)::BIGINT AS tokens, md5(CASE WHEN length(text) <= 400 THEN text ELSE left(text, 200) || chr(10) || '[...]' || chr(10) || right(text, 200) END) AS kept FROM documents")
+@query("SELECT doc_id, ceil(strlen(text) / 4)::BIGINT AS tokens FROM documents")
+def t17_tokens(spark, folder):
+    return _docs(spark, folder).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query()
 def t17_middle_cut(spark, folder):
-    return _docs(spark, folder).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"), F.md5(T.middle_cut(F.col("text"), 400)).alias("kept"))
+    """Texts cut to a hundred tokens in their middle."""
+    return _docs(spark, folder).select("doc_id", T.middle_cut(100, tokens=True)("text").alias("text"))
 
 
 @query("SELECT doc_id, " + _chain("text", T.TAGLESS) + " AS plain FROM documents")
@@ -304,12 +310,12 @@ def r11_hybrid(spark, folder):
     return V.hybrid(vectors.select("id", "score"), V.bm25(_docs(spark, folder), "doc_id", "text", _WORDS), 20)
 
 
-@query("""WITH x AS (SELECT id, doc_id, row_number() OVER (PARTITION BY id ORDER BY doc_id, chunk_id) AS n FROM (SELECT DISTINCT id, doc_id, chunk_id FROM knowledge_event WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL))
-SELECT id, doc_id, n::INTEGER AS number FROM x""")
+@query()
 def r18_citations(spark, folder):
-    e = table(spark, folder, "knowledge_event", "id", "doc_id", "chunk_id").filter("doc_id is not null and chunk_id is not null").distinct()
-    marks = e.withColumn("m", F.concat(F.lit("[cite:"), "doc_id", F.lit("|"), "chunk_id", F.lit("] ")))
-    return V.citations(marks.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("m")), "").alias("text")), "id", "text").select("id", "doc_id", "number")
+    """The citation markers in the documents' texts and the events' contents as they are."""
+    d = _docs(spark, folder).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text")
+    e = table(spark, folder, "knowledge_event", "id", "content").distinct().withColumnRenamed("content", "text")
+    return V.citations(d.unionByName(e), "id", "text")
 
 
 @query(f"""WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM ({_COSINE})) WHERE place <= 10),

@@ -318,11 +318,13 @@ def t13_cited_names(spark, folder):
 # Dates
 
 
-@query("""SELECT event_id, ts + to_seconds(900) AS every_run, CASE WHEN ts < date_trunc('hour', ts) + to_minutes(30) THEN date_trunc('hour', ts) + to_minutes(30) ELSE date_trunc('hour', ts) + to_minutes(90) END AS cron_run FROM events""")
+@query("""SELECT event_id, CASE WHEN (SELECT min(ts) FROM events) + to_days(5) > ts THEN (SELECT min(ts) FROM events) + to_days(5) END AS at_run, ts + to_seconds(900) AS every_run, CASE WHEN ts < date_trunc('hour', ts) + to_minutes(30) THEN date_trunc('hour', ts) + to_minutes(30) ELSE date_trunc('hour', ts) + to_minutes(90) END AS cron_run FROM events""")
 def d2_next_runs(spark, folder):
-    """Every 15 minutes from each event, and the next half past an hour."""
+    """Once, five days after the first event; every 15 minutes from each; at the next half past an hour."""
     e = table(spark, folder, "events", "event_id", "ts")
-    return e.select("event_id", (F.col("ts") + F.expr("interval 900 seconds")).alias("every_run"), D.next_cron("30 * * * *", "ts").alias("cron_run"))
+    e = e.crossJoin(F.broadcast(e.agg(F.min("ts").alias("first"))))  # one row
+    once = D.next_at(F.col("first") + F.expr("interval 5 days"), F.col("ts"))
+    return e.select("event_id", once.alias("at_run"), D.next_every(F.col("ts"), 900).alias("every_run"), D.next_cron("30 * * * *", "ts").alias("cron_run"))
 
 
 @query("SELECT doc_id, created_time + to_days(CASE source WHEN 'chat_export' THEN 1 WHEN 'tool_log' THEN 3 WHEN 'forum' THEN 30 END) AS ends FROM documents")

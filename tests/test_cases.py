@@ -259,6 +259,30 @@ def test_stand_ins_for_vectors(spark):
     assert h[0][97 % 64] == pytest.approx(2 / 5**0.5) and h[0][98 % 64] == pytest.approx(1 / 5**0.5) and h[1] == [0.0] * 64
 
 
+def test_middle_cut(spark):
+    texts = ["hello", "a" * 10, "日本語テキスト", "", None]
+    assert column(spark, texts, T.middle_cut(5)) == ["hello", "aa\n…5 chars truncated…\naaa", "\n…6 chars truncated…\nト", "", None]
+    assert column(spark, ["a" * 20, "b" * 8], T.middle_cut(2, tokens=True)) == ["aaaa\n…3 tokens truncated…\naaaa", "b" * 8]
+    assert column(spark, ["abc"], T.middle_cut(0)) == ["\n…3 chars truncated…\n"]
+
+
+def test_citations(spark):
+    text = "a [citation:d1:c1:0:5] b [citation:d2:c1:3:9:K:0.5000] c [citation:d1:c1:7:8] [citation:x] [citation:d:c:a:1] [citation:d:c:1:2:Z:1]"
+    new, found = V.marked_citations(text)
+    assert new == "a [1] b [2] c [1] [citation:x] [citation:d:c:a:1] [citation:d:c:1:2:Z:1]"
+    assert found == [(1, "d1", "c1", 0, 5, "vector", 0.0), (2, "d2", "c1", 3, 9, "keyword", 0.5), (1, "d1", "c1", 7, 8, "vector", 0.0)]
+    df = spark.createDataFrame([("k", text), ("n", None), ("e", ""), ("o", "[citation:open")], "id string, t string")
+    got = [tuple(x) for x in V.citations(df, "id", "t").orderBy("place").collect()]
+    assert [(x[0], x[1], x[2], x[3]) for x in got] == [("k", 0, 1, "d1"), ("k", 1, 2, "d2"), ("k", 2, 1, "d1")] and got[0][-1] == new and got[1][-1] is None
+
+
+def test_index_benchmark(spark):
+    df = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(30)], "id int, v array<double>")
+    exact = lambda q: V.top_k_vectors(df, "id", "v", q, "id", "v", 3)
+    got = V.index_benchmark(lambda q: V.top_k_vectors(df.filter("id < 25"), "id", "v", q, "id", "v", 3), exact, df.filter("id < 4"))
+    assert got["queries"] == 4 and got["seconds_a_query"] > 0 and 0 < got["recall"] <= 1 and V.index_benchmark(exact, exact, df.filter("id < 4"))["recall"] == 1
+
+
 def test_chunks(spark):
     text = "one.\n\ntwo.\n\n" + "x" * 120 + "\n\n\n\nlast"
     df = spark.createDataFrame([("d", text), ("blank", " \n\n "), ("none", None)], "k string, t string")

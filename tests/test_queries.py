@@ -15,7 +15,7 @@ PAIRS = [(m, n) for m in MODULES for n in m.QUERIES]
 
 #: Queries that SQL can't give, and where their operators are tested.
 ELSEWHERE = {
-    "p2_found": "test_problems", "p2_node_types": "test_problems", "p2_tool_calls": "test_problems", "t2_folded_names": "test_cases", "t3_edit_distance": "test_whole", "t14_thinking_found": "test_whole",
+    "p2_found": "test_problems", "p2_node_types": "test_problems", "p2_tool_calls": "test_problems", "t2_folded_names": "test_cases", "t3_edit_distance": "test_whole", "t14_thinking_found": "test_whole", "t17_middle_cut": "test_cases", "r18_citations": "test_cases",
     "t16_folded_lines": "test_cases", "t19_title_keywords": "test_cases", "t22_slug": "test_whole", "n3_compact": "test_cases", "n4_tables": "test_cases", "n5_snake_keys": "test_cases", "n7_canonical": "test_cases",
     "t12_first_object": "test_problems", "r1_chunks": "test_cases", "a8_all_terms": "test_whole", "a8_term_documents": "test_whole", "g1_limited": "test_cases", "m4_chosen_hops": "test_cases", "m6_limited": "test_cases",
     "m7_trace": "test_queries", "m9_closed_hyperedges": "test_whole", "m11_activated_events": "test_cases", "j14_topic_matches": "test_cases", "t13_cited_names": "test_cases", "r13_histograms": "test_cases",
