@@ -143,4 +143,4 @@ def test_json_functions(spark):
     got = [tuple(r) for r in df.select(J.canonical("j"), J.snake_keys("j"), J.first_object("j")).collect()]
     assert got[0][0] == '{"a":1,"bA":[{"x":1,"y":null},{"x":2,"y":"z"}]}' and got[0][1].startswith('{"b_a":')
     assert got[1:4] == [(None, None, None)] * 3 and got[4][2] == '{"k": "}"}'
-    assert df.select(J.as_table(F.get_json_object("j", "$.bA"))).first()[0] == "[2]{x,y}:\n  1,\n  2,z"
+    assert df.select(J.as_table(F.get_json_object("j", "$.bA"))).first()[0] == "[2]{x,y}:\n  1,null\n  2,z"
