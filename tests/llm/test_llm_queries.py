@@ -38,7 +38,7 @@ def test_query(spark, db, name):
         return
     pairs = [(r[columns[0]], r[columns[1]]) for r in rows] if name in ("p1_found", "p10_found") else []
     assert all(a < b for a, b in pairs) and len(set(pairs)) == len(pairs)
-    count = lambda sql: db.sql(sql).fetchone()[0]
+    count = lambda sql: db.sql(sql).fetchall()[0][0]
     if name in ("p10_texts", "p8_clean", "p10_classes"):
         assert len(rows) == count("SELECT count(*) FROM documents" + (" WHERE text IS NOT NULL" if name == "p10_classes" else ""))
     if name == "p6_pieces":
