@@ -33,14 +33,14 @@ from tarnfall.sources.tables import stage
 
 #: Rows of one model on which the upper centroids are fitted, and rows a list in the sample for the lower ones.
 SAMPLE, ROWS_A_LIST = 20_000, 100
-PROBES = 32
+PROBES = 40
 SHARD = 20_000
 QUERIES = 20_000
 BLOCK = 16
 #: Part of the candidates up to which the next block is taken one by one.
 FEW = 0.08
 #: Width of the test: a candidate goes if its estimate exceeds the bound by 1 + EPSILON / sqrt(dimensions seen).
-EPSILON = 2.4
+EPSILON = 2.1
 
 
 def usable_vectors(df: DataFrame, hash_column: str = "content_hash", model_column: str = "model", vector_column: str = "embedding", dim_column: str = "dim", time_column: str = "ts") -> DataFrame:
