@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 PLACEHOLDER = "[REDACTED_SECRET]"
 # Secrets to blank out, in this order; what is kept of a match stands before the placeholder.
@@ -245,11 +246,21 @@ def cosine(a: str, b: str) -> Column:
 
 
 def histogram(c: str, dims: int = 64) -> Column:
-    """A deterministic stand-in for an embedding: counts of code points modulo ``dims``, at unit length."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x) % dims)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(codes, lambda x: x == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when(norm > 0, F.transform(counts, lambda v: v / norm)).otherwise(counts)
+    """A deterministic stand-in for an embedding: counts of code points modulo ``dims``, at unit length; zeros for an empty text.
+
+    Every text is gone through once; as a Column expression the counts would be made
+    again for each of their parts. Null stays null.
+    """
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(s: pd.Series) -> pd.Series:
+        def one(text: str) -> np.ndarray:
+            counts = np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype="<u4") % dims, minlength=dims).astype(float)
+            return counts / (np.sqrt((counts * counts).sum()) or 1.0)
+
+        return s.map(one, na_action="ignore")
+
+    return run(c)
 
 
 def byte_vector(c: str, dims: int = 384) -> Column:

@@ -4,7 +4,9 @@ import datetime
 import io
 import itertools
 import random
+import time
 import zipfile
+from collections import Counter
 
 import pytest
 
@@ -259,6 +261,18 @@ def test_stand_ins_for_vectors(spark):
     assert h[0][97 % 64] == pytest.approx(2 / 5**0.5) and h[0][98 % 64] == pytest.approx(1 / 5**0.5) and h[1] == [0.0] * 64
 
 
+def test_histogram_goes_through_a_text_once(spark):
+    texts = ["aé漢😀\0" * 800 + chr(200 + k) * k for k in range(100)]
+    began = time.perf_counter()
+    got = column(spark, texts, lambda c: T.histogram("c"))
+    assert time.perf_counter() - began < 20  # minutes if the counts are made again for each part
+    for t, h in zip(texts, got):
+        n = Counter(ord(x) % 64 for x in t)
+        norm = sum(v * v for v in n.values()) ** 0.5
+        assert h == pytest.approx([n[d] / norm for d in range(64)])
+    assert column(spark, ["ab", None], lambda c: T.histogram("c", 2)) == [pytest.approx([0.5**0.5] * 2), None]
+
+
 def test_middle_cut(spark):
     texts = ["hello", "a" * 10, "日本語テキスト", "", None]
     assert column(spark, texts, T.middle_cut(5)) == ["hello", "aa\n…5 chars truncated…\naaa", "\n…6 chars truncated…\nト", "", None]
