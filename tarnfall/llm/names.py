@@ -334,7 +334,7 @@ def _short_forms(forms: DataFrame) -> DataFrame:
     tokens = F.filter(F.split(F.substring("written", 3, 1 << 30), " "), lambda t: F.char_length(t) > 1)
     names = forms.filter("written like 'p %'").select(F.array_distinct(tokens).alias("t")).filter("size(t) > 1")
     total = names.agg(F.count(F.lit(1)).alias("total"))
-    both = names.select(F.explode("t").alias("a"), "t").select("a", F.explode("t").alias("b")).filter("a <> b").distinct()
+    both = stage(names.select(F.explode("t").alias("a"), "t").select("a", F.explode("t").alias("b")).filter("a <> b").distinct())
     links = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     linked = both.join(links, "a").join(links.select(F.col("a").alias("b"), F.col("n").alias("m")), "b").filter("n > m or (n = m and a > b)")
     own = linked.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHORT_SHARED)
@@ -361,11 +361,13 @@ def _characters(forms: DataFrame) -> DataFrame:
     return best.filter((F.col("x.s") >= CHARACTER_LEAST) & (F.col("x.s") >= CHARACTER_PART * F.col("n"))).select("a", F.col("x.b").alias("b"))
 
 
-def _small(pairs: DataFrame) -> dict[str, str]:
-    rows = pairs.limit(MOST_LEARNT + 1).collect()  # to refuse more, not to use a part
-    if len(rows) > MOST_LEARNT:
+def _small(pairs: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+    """Of ``a, b``, those that differ and those that don't."""
+    rows = pairs.limit(2 * MOST_LEARNT + 1).collect()  # to refuse more, not to use a part
+    out = {r[0]: r[1] for r in rows if r[0] != r[1]}, {r[0]: r[1] for r in rows if r[0] == r[1]}
+    if max(map(len, out)) > MOST_LEARNT:
         raise ValueError(f"more than MOST_LEARNT = {MOST_LEARNT} spellings were learnt")
-    return {r[0]: r[1] for r in rows}
+    return out
 
 
 def _resolved(to: dict[str, str]) -> dict[str, str]:
@@ -381,10 +383,10 @@ def _resolved(to: dict[str, str]) -> dict[str, str]:
 
 def learn(forms: DataFrame) -> Spellings:
     """Short forms, given names and mistaken characters of all forms (column ``written``)."""
-    pairs = _short_forms(forms)
-    short = _resolved(_small(pairs.filter("a <> b")))
-    given = {a: a for a in _small(pairs.filter("a = b").select("a", F.lit("").alias("b")))} | {b: b for b in short.values()} | short
-    return Spellings(given, _resolved(_small(_characters(forms))))
+    short, own = _small(_short_forms(forms))
+    short = _resolved(short)
+    given = own | {b: b for b in short.values()} | short
+    return Spellings(given, _resolved(_small(_characters(forms))[0]))
 
 
 _KEYED = "written string, form string, keys array<struct<key:string,tag:string,value:string,beside:string>>"
@@ -491,7 +493,7 @@ def blocked_pairs(forms: DataFrame) -> DataFrame:
     refs = stage(forms.select("form", F.inline("keys")).distinct())
     tag = F.col("tag")
     tokens = refs.filter(tag.isin("S", "O", "R")).groupBy(F.col("value").alias("token")).agg(F.max(tag == "R").alias("loose"))
-    near = stage(_near_tokens(tokens))
+    near = _near_tokens(tokens)
     word = refs.filter(tag.isin("S", "O") & F.startswith("value", F.lit("o"))).select("form", "value").distinct()
     rarest = word.join(word.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "value").groupBy("form").agg(F.min(F.struct("n", "value"))["value"].alias("rarest"))
     often = refs.filter(tag.isin("S", "O", "R")).groupBy("value").agg(F.count_distinct("form").alias("n"))
@@ -513,12 +515,11 @@ def blocked_pairs(forms: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _only_choice(links: DataFrame, sure: DataFrame) -> DataFrame:
-    """``a, b``: of the groups that ``sure`` makes, those that lack a part and fit just one other, with that one.
+def _only_choice(links: DataFrame, core: DataFrame) -> DataFrame:
+    """``a, b``: of the groups of ``core`` and the forms in none, those that lack a part and fit just one other, with that one.
 
     ``links`` are weak ones between forms; their ``lack_a`` and ``lack_b`` tell which form lacks the part.
     """
-    core = connected_components(sure)
     ends = links.filter("lack_a").select("a", "b", "verdict").union(links.filter("lack_b").select(F.col("b").alias("a"), F.col("a").alias("b"), "verdict"))
     for end in ("a", "b"):
         ends = ends.join(core.withColumnRenamed("node", end), end, "left").withColumn(f"g{end}", F.coalesce("component", end)).drop("component")
@@ -529,6 +530,16 @@ def _only_choice(links: DataFrame, sure: DataFrame) -> DataFrame:
     return choice.filter("c1 = 1 or (c1 = 0 and c2 = 1)").select(F.col("ga").alias("a"), F.coalesce("g1", "g2").alias("b"))
 
 
+def _with_choices(core: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component``: the groups of ``core`` joined up by their only choices.
+
+    A group goes by its smallest form, so the choices are joined up by themselves, and only they.
+    """
+    chosen = connected_components(_only_choice(links, core))
+    nodes = core.unionByName(chosen.select("node", F.col("node").alias("component"))).distinct()
+    return nodes.join(chosen.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
 def name_groups(df: DataFrame, id_column: str = "id", type_column: str = "entity_type_id", name_column: str = "name", normalized_column: str = "normalized_name", spellings: Spellings | None = None) -> DataFrame:
     """``id, type, form, group``: every person or organisation with the group of its name.
 
@@ -546,10 +557,8 @@ def name_groups(df: DataFrame, id_column: str = "id", type_column: str = "entity
     forms = keyed.groupBy("form").agg(F.first("keys").alias("keys"))
     parsed = parsed.join(keyed.select("written", "form"), "written").select("id", "type", "form")
     verdicts = stage(blocked_pairs(forms).mapInArrow(_compared(spellings), "a string, b string, verdict int, lack_a boolean, lack_b boolean").filter("verdict > 0"))
-    sure = verdicts.filter("verdict = 1").select("a", "b")
-    named = stage(sure.unionByName(_only_choice(verdicts.filter(F.col("verdict") == MIDDLE), sure)))
-    initial = _only_choice(verdicts.filter(F.col("verdict") >= INITIAL), named)
-    groups = connected_components(named.unionByName(initial))
+    named = stage(_with_choices(connected_components(verdicts.filter("verdict = 1")), verdicts.filter(F.col("verdict") == MIDDLE)))
+    groups = _with_choices(named, verdicts.filter(F.col("verdict") >= INITIAL))
     return parsed.select("id", "type", "form").distinct().join(groups.withColumnRenamed("node", "form"), "form", "left").select("id", "type", "form", F.coalesce("component", "form").alias("group"))
 
 

@@ -14,52 +14,58 @@ from tarnfall.sources.tables import stage
 CHUNK = 200_000
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v), a chunk at a time: each node with the smallest node that the chunk links it to."""
-    up: dict = {}
-    size = 0
+def _forests(chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges (u, v), a chunk at a time: each node with the smallest node that the chunk links it to, which may be itself."""
+        up: dict = {}
+        size = 0
 
-    def top(x):
-        root = x
-        while up[root] != root:
-            root = up[root]
-        while up[x] != root:
-            up[x], x = root, up[x]
-        return root
+        def top(x):
+            root = x
+            while up[root] != root:
+                root = up[root]
+            while up[x] != root:
+                up[x], x = root, up[x]
+            return root
 
-    def rows() -> pa.RecordBatch:
-        found = [(top(x), x) for x in up]
-        found = [f for f in found if f[0] != f[1]]
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], names=["u", "v"])
+        def rows() -> pa.RecordBatch:
+            found = [(top(x), x) for x in up]
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], names=["u", "v"])
 
-    kind = pa.string()
-    for b in batches:
-        kind = b.schema.field(0).type
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x, y = top(up.setdefault(u, u)), top(up.setdefault(v, v))
-            if x != y:
-                up[max(x, y)] = min(x, y)
-        size += b.num_rows
-        if size >= CHUNK:
+        kind = pa.string()
+        for b in batches:
+            kind = b.schema.field(0).type
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = top(up.setdefault(u, u)), top(up.setdefault(v, v))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            size += b.num_rows
+            if size >= chunk:
+                yield rows()
+                up, size = {}, 0
+        if up:
             yield rows()
-            up, size = {}, 0
-    if up:
-        yield rows()
+
+    return run
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of an edge; the component is its smallest node.
 
-    Edges are first joined up chunk by chunk, which leaves at most one for each node of a
-    chunk. Then "each node links its larger neighbours to its smallest one" alternates
-    with the same on the smaller side until no edge moves. A hub's neighbours are never
-    gathered: only their minimum is, which is pre-aggregated. Self-links and repeated
-    edges are fine; null ends are left out; an empty edge list gives no rows.
+    Edges are first joined up chunk by chunk, which leaves one for each node of a chunk.
+    If one chunk can hold all that is left, joining that up ends it. Else "each node links
+    its larger neighbours to its smallest one" alternates with the same on the smaller
+    side until no edge moves. A hub's neighbours are never gathered: only their minimum
+    is, which is pre-aggregated. Self-links and repeated edges are fine; null ends are
+    left out; an empty edge list gives no rows.
     """
-    e = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u is not null and v is not null and u <> v")
-    alone = edges.filter(F.col(a) == F.col(b)).select(F.col(a).alias("node"))
+    e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     kind = e.schema["u"].dataType.simpleString()
-    e = stage(e.mapInArrow(_forests, f"u {kind}, v {kind}").distinct())
+    joined = lambda x: x.mapInArrow(_forests(CHUNK), f"u {kind}, v {kind}")
+    own = stage(joined(e).distinct())
+    if own.count() <= CHUNK:
+        return stage(joined(own.coalesce(1))).select(F.col("v").alias("node"), F.col("u").alias("component"))
+    e = own.filter("u <> v")
     mark = lambda x: tuple(x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(e)
     while True:
@@ -73,6 +79,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if now == before:
             break
         before = now
-    found = e.select(F.col("v").alias("node"), F.col("u").alias("component"))
-    roots = e.select(F.col("u").alias("node"), F.col("u").alias("component"))
-    return found.unionByName(roots).unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))).distinct()
+    return e.unionByName(own.filter("u = v")).groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))

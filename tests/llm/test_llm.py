@@ -344,3 +344,14 @@ def test_lcs_ratio_against_table():
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
         assert abs(names.lcs_ratio(a, b) - 2 * t[-1][-1] / (len(a) + len(b))) < 1e-12
+
+
+def test_names_take_few_jobs(spark):
+    """The driver keeps something of each job, so a small table's names must not take many."""
+    rows = [(str(i), "person", f"{given} {family}") for i, (given, family) in enumerate((g, f) for f in ("Bidifumis", "Konarelot", "Misonaheth") for g in ("Frederick", "Fred", "F.", "Frederick J."))]
+    df = spark.createDataFrame(rows, "id string, entity_type_id string, name string").withColumn("normalized_name", F.lit(None).cast("string"))
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    got = names.name_groups(df)
+    taken = jobs() - before
+    assert got.count() == len(rows) and taken <= 78

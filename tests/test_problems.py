@@ -136,6 +136,23 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [7, components.CHUNK])
+def test_components_of_many_parts(spark, monkeypatch, chunk):
+    """Long chains, a hub and self-links, whether one chunk holds all edges or not; in few jobs if one does."""
+    monkeypatch.setattr(components, "CHUNK", chunk)
+    chains = [(1000 * k + i, 1000 * k + i + 1) for k in range(5) for i in range(60)]
+    edges = [*chains, *((9000, 9001 + i) for i in range(60)), (5, 5), (9999, 9999), (None, 8888), (8888, None)]
+    random.Random(2).shuffle(edges)
+    df = spark.createDataFrame(edges, "a int, b int").repartition(4)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    got = components.connected_components(df)
+    taken = jobs() - before
+    right = {1000 * k + i: 1000 * k for k in range(5) for i in range(61)} | {9000 + i: 9000 for i in range(61)} | {9999: 9999}
+    assert sorted(map(tuple, got.collect())) == sorted(right.items())
+    assert chunk == 7 or taken <= 8
+
+
 def test_json_functions(spark):
     from tarnfall.functions import json as J
 
